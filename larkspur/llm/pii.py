@@ -53,7 +53,7 @@ def _running_sums(xs: Column) -> Column:
     scan = lambda block, value: F.aggregate(block, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + value(x))))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda b: scan(F.slice(xs, b * _BLOCK + 1, _BLOCK), lambda x: x))
     return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(
-        F.flatten(F.zip_with(blocks, scan(blocks, lambda b: F.element_at(b, -1)), lambda block, base: F.transform(F.slice(block, 1, F.greatest(F.size(block) - 1, F.lit(0))), lambda v: v + base)))
+        F.flatten(F.zip_with(blocks, F.slice(scan(blocks, lambda b: F.element_at(b, -1)), F.lit(1), F.size(blocks)), lambda block, base: F.transform(F.slice(block, 1, F.greatest(F.size(block) - 1, F.lit(0))), lambda v: v + base)))
     )
 
 
@@ -79,15 +79,14 @@ def _confirmed(kind: Kind, match: Column) -> Column:
     return _mod97(match) if kind.name == "iban" else F.lit(True)
 
 
-def _span(place: int, kind: Kind, gaps: Column, before: Column) -> Callable[[Column, Column], Column]:
-    """From a match and its number: the span with its score, from the words beside it, and whether a check confirms it."""
+def _span(place: int, kind: Kind) -> Callable[[Column], Column]:
+    """From a match, the texts on its left and right, and what stands before those: the span, its score, and whether a check confirms it."""
 
-    def span(hit: Column, i: Column) -> Column:
-        gap = F.element_at(gaps, i + 1)
-        start = F.element_at(before, i + 1) + F.char_length(gap)
-        near = F.lower(F.concat_ws(" ", F.right(gap, F.lit(CONTEXT_CHARS)), F.left(F.element_at(gaps, i + 2), F.lit(CONTEXT_CHARS))))
+    def span(x: Column) -> Column:
+        start = x["base"] + F.char_length(x["left"])
+        near = F.lower(F.concat_ws(" ", F.right(x["left"], F.lit(CONTEXT_CHARS)), F.left(x["right"], F.lit(CONTEXT_CHARS))))
         score = F.least(F.lit(1.0), F.lit(kind.weight) + F.when(near.rlike(kind.words), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)))
-        return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(kind.name).alias("kind"), (start + F.char_length(hit)).alias("end"), score.alias("score"), _confirmed(kind, hit).alias("confirmed"))
+        return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(kind.name).alias("kind"), (start + F.char_length(x["hit"])).alias("end"), score.alias("score"), _confirmed(kind, x["hit"]).alias("confirmed"))
 
     return span
 
@@ -106,14 +105,12 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
         none = F.array().cast("array<string>")
         df = df.withColumn(f"__pii_h_{kind.name}", F.when(F.contains(body, F.lit(kind.sign)), hits).otherwise(none))
     for place, kind in enumerate(KINDS):
-        hits = F.col(f"__pii_h_{kind.name}")
-        gaps = F.col(f"__pii_g_{kind.name}")
+        # What a lambda reads is zipped into its array: an outer column named in a lambda may be computed anew for each element.
+        hits, gaps, steps = (F.col(f"__pii_{x}_{kind.name}") for x in "hgn")
         df = df.withColumn(f"__pii_g_{kind.name}", F.when(F.size(hits) > 0, F.split(body, kind.pattern, -1)))
-        steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.char_length(gap) + F.char_length(hit))
-        df = df.withColumn(f"__pii_b_{kind.name}", F.when(F.size(hits) > 0, _running_sums(steps)))
-        before = F.col(f"__pii_b_{kind.name}")
-
-        df = df.withColumn(f"__pii_s_{kind.name}", F.when(F.size(hits) > 0, F.transform(hits, _span(place, kind, gaps, before))))
+        df = df.withColumn(f"__pii_n_{kind.name}", F.when(F.size(hits) > 0, F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.char_length(gap) + F.char_length(hit))))
+        zipped = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("left"), F.slice(gaps, 2, F.size(hits)).alias("right"), _running_sums(steps).alias("base"))
+        df = df.withColumn(f"__pii_s_{kind.name}", F.when(F.size(hits) > 0, F.transform(zipped, _span(place, kind))))
     kept = [F.coalesce(F.filter(F.col(f"__pii_s_{k.name}"), lambda s: s["confirmed"] & (s["score"] >= LEAST_SCORE)), F.array().cast("array<struct<start:int,place:int,kind:string,end:int,score:double,confirmed:boolean>>")) for k in KINDS]
     spans = F.transform(F.array_sort(F.concat(*kept)), lambda s: s.dropFields("confirmed"))
     return df.withColumn(out, spans).select(*docs.columns, out)
