@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm import lines
 from larkspur.llm.pii import pii_digest
 from larkspur.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": lambda spark, sf: pii_digest(table(spark, sf, "documents")),
+    "op8_line_dedup": lambda spark, sf: lines.duplicate_lines(table(spark, sf, "documents")),
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
