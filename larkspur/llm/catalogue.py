@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import lines
+from larkspur.llm import bpe, lines
 from larkspur.llm.pii import pii_digest
 from larkspur.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": lambda spark, sf: pii_digest(table(spark, sf, "documents")),
+    "op3_bpe": lambda spark, sf: bpe.encode_digest(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op8_line_dedup": lambda spark, sf: lines.duplicate_lines(table(spark, sf, "documents")),
 }
 ORACLE: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
