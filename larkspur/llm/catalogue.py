@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, lines, neardup
+from larkspur.llm import bpe, langid, lines, neardup
 from larkspur.llm.pii import pii_digest
 from larkspur.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": lambda spark, sf: langid.predict_languages(table(spark, sf, "documents")),
     "op2_pii": lambda spark, sf: pii_digest(table(spark, sf, "documents")),
     "op3_bpe": lambda spark, sf: bpe.encode_digest(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op5_near_duplicates": lambda spark, sf: neardup.near_duplicates(table(spark, sf, "documents")),
