@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, langid, lines, neardup, tokencount, toxicity
+from larkspur.llm import bpe, decontam, langid, lines, neardup, tokencount, toxicity
 from larkspur.llm.pii import pii_digest
 from larkspur.session import table
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": lambda spark, sf: pii_digest(table(spark, sf, "documents")),
     "op3_bpe": lambda spark, sf: bpe.encode_digest(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op5_near_duplicates": lambda spark, sf: neardup.near_duplicates(table(spark, sf, "documents")),
+    "op9_decontamination": lambda spark, sf: decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_token_counts": lambda spark, sf: tokencount.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op6_toxicity": lambda spark, sf: toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_line_dedup": lambda spark, sf: lines.duplicate_lines(table(spark, sf, "documents")),
