@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +196,18 @@ def shards(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return [sorted({(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator()}) for k in range(n)]
 
 
+def _finder(shared: Broadcast):
+    """A function from texts to their verified items, over one shard of the benchmark."""
+
+    @F.pandas_udf("array<struct<item_id long, score double, question_overlap double, answer_overlap double>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = ItemIndex(shared.value)
+        for texts in batches:
+            yield pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in found] for found in index.search(texts.tolist())])
+
+    return find
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap.
 
@@ -208,14 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for items in shards(benchmark):
         shared = spark.sparkContext.broadcast(items)
-
-        @F.pandas_udf("array<struct<item_id long, score double, question_overlap double, answer_overlap double>>")
-        def run(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = ItemIndex(shared.value)
-            for texts in batches:
-                yield pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in found] for found in index.search(texts.tolist())])
-
-        hits = docs.select("doc_id", F.explode(run(text_or_empty())).alias("x")).select("doc_id", "x.*")
+        hits = docs.select("doc_id", F.explode(_finder(shared)(text_or_empty())).alias("x")).select("doc_id", "x.*")
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
@@ -226,12 +232,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bounded_batches(spark)
     for items in shards(benchmark):
         shared = spark.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = ItemIndex(shared.value)
-            for texts in batches:
-                yield pd.Series([not found for found in index.search(texts.tolist())], dtype="bool")
-
-        docs = docs.where(clean(text_or_empty()))
+        docs = docs.where(F.size(_finder(shared)(text_or_empty())) == 0)
     return docs
