@@ -4,9 +4,9 @@ A register holds the exponentially spaced, truncated minimum of its hash over a
 Registers merge by maximum, and equal registers tell of similar sets, so bands of them find candidates.
 Documents with equal sets fold into one first. Of each band's bucket, everyone is checked against the
 bucket's first document; what is linked by then is one component. Only buckets with several components
-left are searched pair by pair, on registers: a joint likelihood of the similarity, from how many are
-greater, less and equal and from the known set sizes, decides what is worth checking. Every link is
-confirmed on the full shingle sets.
+left are compared pair by pair, inside a task: a joint likelihood of the similarity, from how many registers
+are greater, less and equal and from the known set sizes, decides what is worth a look; shortened shingle
+hashes then tell what is a link, and only links leave the task. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 LEAST_ESTIMATE = 0.6
 #: Documents of a bucket that one task compares; larger buckets are dealt out as pairs of such blocks.
 BLOCK = 2048
-#: Pairs checked for each document and foreign component before the rest.
-FIRST_PAIRS = 4
+#: Similarities on shortened hashes from which a pair leaves the task, and from which it surely is a link.
+LIKELY_LINK, SURE_LINK = 0.74, 0.76
 _U64 = np.uint64
 _WORD_CACHE = 1_000_000
 
@@ -176,40 +176,99 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.where(check("x", "y")).select("a", "b").distinct()
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Likely pairs (a, b, rank) of different components within each bucket; rank counts a document's pairs with one foreign component, the most alike first."""
+def _likely_partners(i: int, to: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of `to` in another component that may be similar to i, and how many registers they share."""
+    n = g["n"]
+    to = to[(g["component"][to] != g["component"][i]) & (n[to] >= LEAST_ESTIMATE * n[i]) & (n[i] >= LEAST_ESTIMATE * n[to])]
+    equal = (g["regs"][to] == g["regs"][i]).sum(1)
+    near = equal >= REGISTERS * LEAST_ESTIMATE / 2
+    to, equal = to[near], equal[near]
+    more = (g["regs"][to] < g["regs"][i]).sum(1)
+    ok = likely(equal, more, REGISTERS - equal - more, np.float64(n[i]), n[to].astype(np.float64))
+    return to[ok], equal[ok]
+
+
+def _group_links(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """Links of one bucket (or of two blocks of it), as places: likely pairs whose shortened sets are similar enough.
+
+    A pair is looked at in the first band that it shares, and only while its components are apart.
+    """
+    same = g["lo"][0] == g["hi"][0]
+    left = np.flatnonzero(g["block"] == g["lo"][0])
+    right = np.flatnonzero(g["block"] == g["hi"][0])
+    band, width, parent, found = int(g["band"][0]), REGISTERS // BANDS, {}, []
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+    held = lambda k: sets[k] if k in sets else sets.setdefault(k, np.frombuffer(g["short"][k], np.uint32))
+    for i in left:
+        js, equal = _likely_partners(i, right[right > i] if same else right, g)
+        if band and len(js):
+            before = (g["regs"][js, : band * width] == g["regs"][i, : band * width]).reshape(len(js), band, width).all(2).any(1)
+            js, equal = js[~before], equal[~before]
+        for j in js[np.argsort(-equal, kind="stable")].tolist():
+            a, b = root(int(g["component"][i])), root(int(g["component"][j]))
+            if a == b:
+                continue
+            x, y = held(int(i)), held(j)
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            alike = both / (len(x) + len(y) - both)
+            if alike >= LIKELY_LINK:
+                found.append((int(i), j))
+            if alike >= SURE_LINK:
+                parent[max(a, b)] = min(a, b)
+    return found
+
+
+def _cross_links(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that share a bucket and look like links.
+
+    Rows of a bucket come sorted, so buckets stream through a task; one beyond BLOCK documents is dealt out
+    as pairs of blocks.
+    """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
     dealt = members.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "n", "regs")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc")
-        regs = np.stack([np.frombuffer(x, np.uint16) for x in pdf["regs"]])
-        doc, comp, n, blk = (pdf[c].to_numpy() for c in ("doc", "component", "n", "block"))
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-        found = []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) if lo == hi else True)]
-            js = js[(n[js] >= LEAST_ESTIMATE * n[i]) & (n[i] >= LEAST_ESTIMATE * n[js])]
-            if not len(js):
+    dealt = dealt.select("key", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "n", "regs", "short")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] | None = None
+        for pdf in _ended(batches):
+            new = None if pdf is None else {c: pdf[c].to_numpy() for c in pdf.columns if c != "regs"} | {"regs": np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)}
+            held = new if held is None else held if new is None else {c: np.concatenate([held[c], new[c]]) for c in held}
+            if held is None:
                 continue
-            equal, more = (regs[js] == regs[i]).sum(1), (regs[js] < regs[i]).sum(1)
-            ok = likely(equal, more, REGISTERS - equal - more, np.float64(n[i]), n[js].astype(np.float64))
-            found += [(doc[i], doc[j], comp[i], comp[j], e) for j, e in zip(js[ok], equal[ok], strict=True)]
-        out = pd.DataFrame(found, columns=["a", "b", "ca", "cb", "equal"]).sort_values("equal", ascending=False, kind="stable")
-        out["rank"] = np.minimum(out.groupby(["a", "cb"]).cumcount(), out.groupby(["b", "ca"]).cumcount()) if len(out) else pd.Series(dtype="int64")
-        return out[["a", "b", "rank"]].astype("int64")
+            change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["lo"][1:] != held["lo"][:-1]) | (held["hi"][1:] != held["hi"][:-1])) + 1
+            bounds = [0, *change.tolist(), *([len(held["key"])] if pdf is None else [])]
+            pairs = []
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                g = {c: v[x:y] for c, v in held.items()}
+                pairs += [(max(p, q), min(p, q)) for i, j in _group_links(g) for p, q in [(int(g["doc"][i]), int(g["doc"][j]))] if p != q]
+            held = {c: v[bounds[-1] :] for c, v in held.items()} if pdf is not None else None
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["a", "b"])
 
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(search, "a long, b long, rank long").groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    return dealt.mapInPandas(search, "a long, b long").distinct()
+
+
+def _ended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    """The batches, and None behind the last one."""
+    yield from batches
+    yield None
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    @F.pandas_udf("n long, regs binary")
+    """doc, set size, registers, and the distinct shingle hashes shortened to 32 bits, of each candidate."""
+
+    @F.pandas_udf("n long, regs binary, short binary")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "regs": [registers([s]).tobytes() for s in sets]})
+        return pd.DataFrame({"n": [len(s) for s in sets], "regs": [r.tobytes() for s in sets for r in registers([s])], "short": [np.unique((s >> _U64(32)).astype(np.uint32)).tobytes() for s in sets]})
 
     return texts.select(F.col("doc_id").alias("doc"), run("text").alias("x")).select("doc", "x.*")
 
@@ -227,7 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal = made.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(equal.where("copies > 1 and rep is not null").select("s1", "s2", "rep"), "copies")
     ranked = made.where("s1 is not null and doc_id is not null").join(hinted(copies), ["s1", "s2"], "left").where("rep is null or rep = doc_id")
-    keys = ranked.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"))
+    keys = ranked.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("doc"))
     buckets = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
     shared = materialize(keys.join(hinted(materialize(buckets, "buckets")), "key"), "shared")
 
@@ -235,18 +294,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     star = shared.where("first < doc").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
     links = materialize(_similar(star, texts), "links")
-    for rest in (False, True):
-        belongs = components(links)
-        placed = shared.join(belongs.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        several = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "several")
-        open_ = placed.join(hinted(several), "key", "left_semi")
-        open_ = open_.join(_sketched(texts), "doc")
-        pairs = materialize(_cross_pairs(open_), "pairs")
-        pairs = pairs if rest else pairs.where(F.col("rank") < FIRST_PAIRS)
-        tried = star if not rest else star.union(first_pairs)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        first_pairs = pairs = materialize(pairs, "pairs")
-        links = materialize(links.union(_similar(pairs, texts)), "links")
+    belongs = components(links)
+    placed = shared.join(belongs.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
+    several = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "several")
+    apart = placed.join(hinted(several), "key", "left_semi").join(materialize(_sketched(texts), "registers"), "doc")
+    pairs = materialize(_cross_links(apart).join(star, ["a", "b"], "left_anti"), "pairs")
+    links = materialize(links.union(_similar(pairs, texts)), "links")
     belongs = materialize(components(links).where("id <> component").withColumnRenamed("id", "rep"), "components")
 
     whole = made.select("doc_id", "n_shingles", "s1", "s2").join(hinted(copies), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
