@@ -22,19 +22,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
-def _staged(spark: SparkSession, sf: str, files: int = 3) -> tuple[str, DataFrame]:
-    """The events as a folder of files in time order, which a stream reads one by one."""
-    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    path = scratch(spark, "events")
-    e.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    return path, e
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream. The pattern matches a file as well as a folder, of which a plain path must be one."""
+    stream = flows.read_events(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
+    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
 
 
 @query("outbox_dedupe", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
 def outbox_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every purchase is delivered twice and comes out once."""
-    path, e = _staged(spark, sf)
-    stream = flows.read_events(spark, path, e.schema).where("event_type = 'purchase'").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    stream = _events(spark, sf).where("event_type = 'purchase'").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out = scratch(spark, "outbox")
     flows.drain(flows.outbox(stream, "event_id", "ts", "1 hour").select("event_id", "user_id"), out, scratch(spark, "checkpoint"))
     return spark.read.schema("event_id long, user_id long").parquet(out)
@@ -43,13 +40,12 @@ def outbox_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_discovery", "SELECT event_type, count(*) AS n, min(event_id) AS first_id, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def stream_discovery(spark: SparkSession, sf: str) -> DataFrame:
     """Micro-batches of events, each folded in by key; a batch that runs again overwrites its own part."""
-    path, e = _staged(spark, sf)
     out = scratch(spark, "discovery")
 
     def step(batch: DataFrame, number: int) -> None:
         batch.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    flows.drain_each(flows.read_events(spark, path, e.schema), scratch(spark, "checkpoint"), step)
+    flows.drain_each(_events(spark, sf), scratch(spark, "checkpoint"), step)
     parts = spark.read.parquet(out)
     users = parts.groupBy("event_type", "user_id").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
     return users.groupBy("event_type").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.count("*").alias("users"))
@@ -58,8 +54,7 @@ def stream_discovery(spark: SparkSession, sf: str) -> DataFrame:
 @query("state_machine")
 def state_machine(spark: SparkSession, sf: str) -> DataFrame:
     """Every user's admission state after all events, with how often it moved."""
-    path, e = _staged(spark, sf)
-    stream = flows.read_events(spark, path, e.schema).withColumn("at", F.unix_micros("ts") * 1000 + F.col("event_id") % 1000)
+    stream = _events(spark, sf).withColumn("at", F.unix_micros("ts") * 1000 + F.col("event_id") % 1000)
     out = scratch(spark, "states")
     flows.drain(flows.state_machine(stream, "user_id", "at", "event_type"), out, scratch(spark, "checkpoint"))
     states = spark.read.schema("user_id long, state string, last long, moves long, late long").parquet(out)
@@ -69,9 +64,8 @@ def state_machine(spark: SparkSession, sf: str) -> DataFrame:
 @query("release_windows")
 def release_windows(spark: SparkSession, sf: str) -> DataFrame:
     """A user's events within an hour of each other are one release."""
-    path, e = _staged(spark, sf)
     out = scratch(spark, "releases")
-    flows.drain(flows.release_windows(flows.read_events(spark, path, e.schema), "user_id", "ts", "1 hour", "0 seconds"), out, scratch(spark, "checkpoint"))
+    flows.drain(flows.release_windows(_events(spark, sf), "user_id", "ts", "1 hour", "0 seconds"), out, scratch(spark, "checkpoint"))
     return spark.read.schema("user_id long, opened_at timestamp, closes_at timestamp, n long").parquet(out)
 
 

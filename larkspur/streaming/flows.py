@@ -21,9 +21,10 @@ TRANSITIONS = {
 }
 
 
-def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A Parquet folder as a stream; times become instants, as watermarks need."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files as a stream, in micro-batches of so many files; files are taken by their time of writing."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
