@@ -2,8 +2,8 @@
 
 A word's vector is the mean of its n-grams' vectors, so a misspelling never seen shares most of a known
 word's. A document is read in segments of SEGMENT words, each averaged and scored; its score is its worst
-segment's, so one insult in a long text isn't averaged away. As only documents are labelled, training
-begins with all of a document's segments and then goes on with those that the model itself finds worst.
+segment's, so one insult in a long text isn't averaged away. As only documents are labelled, training goes over those
+segments of a document that the model itself finds worst.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from larkspur.llm.langid import held_out
 NGRAMS, BUCKETS, DIM, SEGMENT = (3, 4, 5), 1 << 17, 8, 12
 #: The training sample: documents of each label, and words of each document (beyond that, segments evenly spread over it).
 DOCS_PER_LABEL, SEGMENTS_PER_DOC = 3000, 40
-ROUNDS, BATCH, STEP, DECAY, SEED = 14, 256, 0.02, 0.9, 5
+LEAST_DOCS = 4
+ROUNDS, WHOLE, BATCH, STEP, DECAY, SEED = 14, 2, 256, 0.02, 0.9, 5
 WORD = re.compile(r"\w+")
 CACHE = 1_000_000
 
@@ -67,71 +68,100 @@ class SubwordBag:
         return float(1 / (1 + np.exp(-np.clip((sums / SEGMENT).max() + self.bias, -50, 50))))
 
 
+class _Bags:
+    """Segments of the sample as word numbers, and the n-gram buckets of each word, end to end."""
+
+    def __init__(self, texts: list[str]):
+        numbers: dict[str, int] = {}
+        rows, owner, buckets, sizes = [], [], [], []
+        for d, t in enumerate(texts):
+            words = WORD.findall(t.lower())
+            cuts = list(range(0, len(words), SEGMENT))
+            for k in np.unique(np.linspace(0, len(cuts) - 1, SEGMENTS_PER_DOC).astype(int)) if cuts else []:
+                row = np.full(SEGMENT, -1, np.int32)
+                for i, w in enumerate(words[cuts[k] : cuts[k] + SEGMENT]):
+                    if w not in numbers:
+                        numbers[w] = len(numbers)
+                        g = grams(w)
+                        buckets.append(np.array(g, np.int32))
+                        sizes.append(len(g))
+                    row[i] = numbers[w]
+                rows.append(row)
+                owner.append(d)
+        self.rows, self.owner = np.array(rows, np.int32).reshape(-1, SEGMENT), np.array(owner, np.int64)
+        self.buckets = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+
+    def documents(self, chosen: np.ndarray) -> np.ndarray:
+        """In how many of the chosen documents each bucket is."""
+        count = np.zeros(BUCKETS, np.int64)
+        for part in np.split(np.arange(len(self.owner)), np.flatnonzero(np.diff(self.owner)) + 1):
+            if len(part) and chosen[self.owner[part[0]]]:
+                words = np.unique(self.rows[part])
+                count[np.unique(np.concatenate([self.buckets[self.starts[w] : self.starts[w] + self.sizes[w]] for w in words[words >= 0]]))] += 1
+        return count
+
+    def parts(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, weights and rows of the picked segments."""
+        row, place = np.nonzero(self.rows[pick] >= 0)
+        words = self.rows[pick][row, place]
+        n = self.sizes[words]
+        at = np.repeat(self.starts[words] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+        return self.buckets[at], np.repeat(1 / (SEGMENT * n), n), np.repeat(row, n)
+
+    def odds(self, by_bucket: np.ndarray) -> np.ndarray:
+        """Each segment's log odds from a number for each bucket."""
+        words = np.append(np.add.reduceat(by_bucket[self.buckets], self.starts) / self.sizes, 0.0)
+        return words[self.rows].sum(1) / SEGMENT
+
+
 def train(texts: list[str], labels: np.ndarray) -> SubwordBag:
-    """Fit vectors and softmax jointly, by Adagrad over sparse segments; the same data give the same model."""
+    """Fit vectors and softmax jointly, by Adagrad over sparse segments; the same data give the same model.
+
+    The first WHOLE rounds go over all segments of all documents; the others over the worst segment of each
+    document by the model so far, and as many others of clean documents. Both labels weigh the same.
+    """
     rng = np.random.default_rng(SEED)
-    ids: dict[str, np.ndarray] = {}
-    segments: list[tuple[np.ndarray, np.ndarray]] = []
-    owner: list[int] = []
-    for d, t in enumerate(texts):
-        words = WORD.findall(t.lower())
-        cuts = list(range(0, len(words), SEGMENT))
-        for k in np.unique(np.linspace(0, len(cuts) - 1, SEGMENTS_PER_DOC).astype(int)) if cuts else []:
-            parts = []
-            for w in words[cuts[k] : cuts[k] + SEGMENT]:
-                if w not in ids:
-                    ids[w] = np.array(grams(w))
-                parts.append(ids[w])
-            segments.append((np.concatenate(parts), np.concatenate([np.full(len(p), 1 / (SEGMENT * len(p))) for p in parts])))
-            owner.append(d)
-    own = np.array(owner)
-    lab = labels[own]
-    e = rng.normal(0, 0.1, (BUCKETS, DIM))
+    bags = _Bags(texts)
+    own, lab = bags.owner, labels[bags.owner]
+    # Only n-grams of several documents are learned: those of one document would just tell that document.
+    learned = bags.documents(labels >= 0) >= LEAST_DOCS
+    e = rng.normal(0, 0.1, (BUCKETS, DIM)) * learned[:, None]
     w, b = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     ge, gw, gb = np.full(BUCKETS, 1e-6), np.full(w.shape, 1e-6), np.full(2, 1e-6)
-
-    def bags(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        idx = np.concatenate([segments[i][0] for i in pick])
-        wt = np.concatenate([segments[i][1] for i in pick])
-        row = np.repeat(np.arange(len(pick)), [len(segments[i][0]) for i in pick])
-        return idx, wt, row
-
-    def odds() -> np.ndarray:
-        dot = e @ (w[:, 1] - w[:, 0])
-        return np.array([dot[i] @ x for i, x in segments]) + b[1] - b[0]
-
     for r in range(ROUNDS):
         e *= DECAY
-        if r < 2:
-            chosen = np.arange(len(segments))
-        else:  # the worst segment of each document, and as many others of clean ones
-            order = np.lexsort((-odds(), own))
+        chosen = np.arange(len(own))
+        if r >= WHOLE and len(own):
+            order = np.lexsort((-bags.odds(e @ (w[:, 1] - w[:, 0])), own))
             worst = order[np.r_[True, own[order][1:] != own[order][:-1]]]
-            clean = rng.choice(np.flatnonzero(lab == 0), min(len(worst), int((lab == 0).sum())), replace=False)
-            chosen = np.unique(np.concatenate([worst, clean]))
+            clean = np.flatnonzero(lab == 0)
+            chosen = np.unique(np.concatenate([worst, rng.choice(clean, min(len(worst), len(clean)), replace=False)]))
         pos, neg = chosen[lab[chosen] == 1], chosen[lab[chosen] == 0]
         if not len(pos) or not len(neg):
             break
-        weight = np.where(lab == 1, len(chosen) / (2 * len(pos)), len(chosen) / (2 * len(neg)))
+        share = len(chosen) / (2 * np.array([len(neg), len(pos)]))
         order = rng.permutation(chosen)
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            idx, wt, row = bags(pick)
-            starts = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-            mean = np.add.reduceat(e[idx] * wt[:, None], starts)
-            z = mean @ w + b
-            q = np.exp(z - z.max(1, keepdims=True))
+            idx, wt, row = bags.parts(pick)
+            mean = np.zeros((len(pick), DIM))
+            np.add.at(mean, row, e[idx] * wt[:, None])
+            s = mean @ w + b
+            q = np.exp(s - s.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(pick)), lab[pick]] -= 1
-            q *= weight[pick][:, None] / len(pick)
+            q *= share[lab[pick]][:, None] / len(pick)
             dw, db, dm = mean.T @ q, q.sum(0), q @ w.T
-            grad = np.zeros_like(e)
-            np.add.at(grad, idx, dm[row] * wt[:, None])
-            hit = np.unique(idx)
-            ge[hit] += (grad[hit] ** 2).mean(1)
+            hit, inverse = np.unique(idx, return_inverse=True)
+            grad = np.zeros((len(hit), DIM))
+            np.add.at(grad, inverse, dm[row] * wt[:, None])
+            grad *= learned[hit][:, None]
+            ge[hit] += (grad**2).mean(1)
             gw += dw * dw
             gb += db * db
-            e[hit] -= STEP * 10 * grad[hit] / np.sqrt(ge[hit])[:, None]
+            e[hit] -= STEP * 10 * grad / np.sqrt(ge[hit])[:, None]
             w -= STEP * dw / np.sqrt(gw)
             b -= STEP * db / np.sqrt(gb)
     return SubwordBag(e.astype(np.float32), (w[:, 1] - w[:, 0]).astype(np.float32), float(b[1] - b[0]))
