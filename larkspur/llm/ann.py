@@ -33,12 +33,11 @@ def usable(vector: Column) -> Column:
 
 
 class Space:
-    """The rotation, the centroids and the bounds that a sample of vectors gives."""
+    """The rotation, and the centroids and bounds that a sample gives; `longest` is the greatest length of all vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, longest: float):
         rng = np.random.default_rng(4)
-        self.dim = sample.shape[1]
-        self.longest = float(np.linalg.norm(sample, axis=1).max())
+        self.dim, self.longest = sample.shape[1], longest
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim + 1, self.dim + 1)))[0].astype(np.float32)
         points = self.candidates(sample)
         self.centroids = points[rng.choice(len(points), min(lists, len(points)), replace=False)].astype(np.float64)
@@ -46,15 +45,15 @@ class Space:
             own = self.nearest(points, 1)[:, 0]
             for k in np.unique(own):
                 self.centroids[k] = points[own == k].mean(0)
-        self.sample = points[:2048]
+        self.sample = points
 
     def candidates(self, x: np.ndarray) -> np.ndarray:
-        """Lifted by a last number that makes all equally long, up to the sample's longest, and rotated."""
+        """Lifted by a last number that makes all as long as the longest, and rotated."""
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
         return (np.c_[x, rest].astype(np.float32)) @ self.rotation
 
     def queries(self, x: np.ndarray) -> np.ndarray:
-        """Made as long as the sample's longest, which changes no order, with a last number of 0, and rotated."""
+        """Made as long as the longest, which changes no order, with a last number of 0, and rotated."""
         scaled = x * (self.longest / np.linalg.norm(x, axis=1, keepdims=True))
         return np.c_[scaled, np.zeros(len(x))].astype(np.float32) @ self.rotation
 
@@ -96,13 +95,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _scanned(asked: DataFrame, held: DataFrame, parts: DataFrame, space: Broadcast, lists: int, top: int, bounded: bool) -> DataFrame:
-    """The top + 1 best distinct vectors (qvid, vid, score) of each distinct query vector in its nearest `lists` lists."""
+def _scanned(queries: DataFrame, held: DataFrame, parts: DataFrame, space: Broadcast, lists: slice, top: int) -> DataFrame:
+    """The top + 1 best distinct vectors (qvid, vid, score) of each query (qvid, vec, bound) in those of its lists, nearest first.
+
+    Only what lies within the query's bound, a squared distance, is looked for.
+    """
 
     @F.pandas_udf("array<int>")
     def probes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vec in batches:
-            yield pd.Series(list(space.value.nearest(space.value.queries(_matrix(vec)), lists).astype("int32")))
+            yield pd.Series(list(space.value.nearest(space.value.queries(_matrix(vec)), lists.stop)[:, lists].astype("int32")))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -112,9 +114,7 @@ def _scanned(asked: DataFrame, held: DataFrame, parts: DataFrame, space: Broadca
             for lo in range(0, len(left), QUERIES):
                 part = left.iloc[lo : lo + QUERIES]
                 q = _matrix(part["vec"])
-                turned = space.value.queries(q)
-                bound = space.value.bounds(turned, 3 * top) if bounded else np.full(len(q), np.inf, np.float32)
-                i, j = space.value.scan(turned, points, bound)
+                i, j = space.value.scan(space.value.queries(q), points, part["bound"].to_numpy().astype(np.float32))
                 score = np.einsum("ij,ij->i", q[i], exact[j])
                 order = np.lexsort((ids[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
@@ -122,9 +122,13 @@ def _scanned(asked: DataFrame, held: DataFrame, parts: DataFrame, space: Broadca
                 out.append(pd.DataFrame({"qvid": part["qvid"].to_numpy()[i[keep]], "vid": ids[j[keep]], "score": score[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"qvid": pd.Series(dtype="int64"), "vid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    queries = asked.groupBy("qvid").agg(F.any_value("vec").alias("vec")).select("qvid", "vec", F.explode(probes("vec")).alias("list"))
-    queries = queries.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qvid", "vec")
-    near = queries.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(scan, "qvid long, vid long, score double")
+    asked = queries.select("qvid", "vec", "bound", F.explode(probes("vec")).alias("list"))
+    asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qvid", "vec", "bound")
+    near = asked.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(scan, "qvid long, vid long, score double")
+    return _best(near, top)
+
+
+def _best(near: DataFrame, top: int) -> DataFrame:
     best = Window.partitionBy("qvid").orderBy(F.desc("score"), "vid")
     return near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top + 1).drop("n")
 
@@ -150,8 +154,9 @@ def search(rows: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec_
     dim = int(sample["vec"].map(len).mode()[0])
     sample = sample[sample["vec"].map(len) == dim]
     lists = min(MOST_LISTS, max(1, round(total**0.5 / 4)))
-    space = spark.sparkContext.broadcast(Space(_matrix(sample["vec"]), lists))
-    probed = max(1, round(PROBED * len(space.value.centroids)))
+    longest = distinct.where(F.size("vec") == dim).agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)))).first()[0]
+    space = spark.sparkContext.broadcast(Space(_matrix(sample["vec"]), lists, longest))
+    lists = len(space.value.centroids)
     raw, distinct = raw.where(F.size("vec") == dim), distinct.where(F.size("vec") == dim)
 
     # Which ids have equal vectors; `top` ids and the query's own are all that a result can need of them.
@@ -171,11 +176,26 @@ def search(rows: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec_
     # A list of any size is dealt out in parts of about BLOCK vectors.
     parts = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))  # at most MOST_LISTS rows
     held = indexed.join(parts, "list").select("list", F.pmod(F.xxhash64("vid"), "parts").cast("int").alias("part"), "vid", "vec")
-    near = materialize(_scanned(asked, held, parts, space, math.ceil(PROBED * lists), top, True), "near")
+
+    @F.pandas_udf("double")
+    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vec in batches:
+            yield pd.Series(space.value.bounds(space.value.queries(_matrix(vec)), 3 * top).astype(float))
+
+    # The sample bounds the search in a query's nearest list; what is found there bounds the others.
+    queries = materialize(asked.groupBy("qvid").agg(F.any_value("vec").alias("vec")).withColumn("bound", bounds("vec")), "bounds")
+    probed = math.ceil(PROBED * lists)
+    near = materialize(_scanned(queries, held, parts, space, slice(0, 1), top), "near")
+    least = near.groupBy("qvid").agg(F.count("*").alias("c"), F.min("score").alias("floor")).where(F.col("c") > top).select("qvid", "floor")
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
+    within = (2 * longest**2 - 2 * longest / size * F.col("floor")) * (1 + 1e-4) + 1e-5
+    closer = materialize(queries.join(least, "qvid", "left").select("qvid", "vec", F.least("bound", within).alias("bound")), "bounds")
+    if probed > 1:
+        near = materialize(_best(near.unionByName(_scanned(closer, held, parts, space, slice(1, probed), top)), top), "near")
     # Whoever found too few in the probed lists searches all of them, with no bound.
     enough = near.groupBy("qvid").count().where(F.col("count") >= min(top + 1, total)).select("qvid")
-    short = materialize(asked.join(enough, "qvid", "left_anti"), "short")
-    near = near.join(short, "qvid", "left_anti").unionByName(_scanned(short, held, parts, space, lists, top, False))
+    short = materialize(queries.join(enough, "qvid", "left_anti").select("qvid", "vec", F.lit(float("inf")).alias("bound")), "short")
+    near = near.join(short, "qvid", "left_anti").unionByName(_scanned(short, held, parts, space, slice(0, lists), top))
     full = near.join(hinted(first, 50_000), "vid", "left").select("qvid", F.coalesce("id", "vid").alias("vec_id"), "score")
     met = asked.select("query_id", "qvid").join(full, "qvid").where("query_id <> vec_id").select("query_id", "vec_id", "score").distinct()
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
