@@ -24,6 +24,8 @@ from larkspur.llm.common import bounded_batches, hinted, materialize, new_path
 LEAST_REVISIT = 1000
 #: Ranges closer than GAP are read as one, up to MOST bytes; an archive is closed at ARCHIVE bytes.
 GAP, MOST, ARCHIVE = 64 << 10, 8 << 20, 256 << 20
+#: Bytes of archives that one reading task takes. Index rows are small, so their own size says nothing of the work.
+READ_TASK = 64 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, path string, offset long, length long, digest string"
 
@@ -132,7 +134,9 @@ def read_records(index: DataFrame, columns: str = "page_id long, url string, pay
             out = {c: [r[c] for r in rows] for c in names}
             yield pd.DataFrame({c: pd.array(v, "Int64") if c in ("page_id", "refers_to", "payload_bytes") else v for c, v in out.items()})
 
-    placed = index.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_TASK))
+    placed = index.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return placed.mapInPandas(read, columns)
 
 
