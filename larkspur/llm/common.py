@@ -59,3 +59,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def text_or_empty(name: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def text_digest(name: str = "text") -> list[Column]:
+    """128 bits that stand for a text, null as a text of its own: t1 and t2."""
+    return [F.xxhash64(name).alias("t1"), F.xxhash64(F.lit(7), name).alias("t2")]
+
+
+def ids_shared(digested: DataFrame) -> bool:
+    """Whether some doc_id, null among them, stands for several texts. Columns doc_id, t1 and t2 are read."""
+    text = F.struct("t1", "t2")
+    return digested.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi").limit(1).count() > 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded_batches, hinted, materialize, text_or_empty
+from larkspur.llm.common import bounded_batches, hinted, ids_shared, materialize, text_digest, text_or_empty
 
 SHINGLE, PERCENT = 5, 75
 #: Registers, bands of them, and the base and rate of their spacing. At similarity 0.75 all bands miss once in 200,000 pairs.
@@ -115,7 +115,7 @@ def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, a: np.ndarray,
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two halves of a 128-bit digest of the set (null if empty), and the band keys of each document."""
+    """doc_id, digest of the text (t1, t2), n_shingles, digest of the set (s1, s2; null if empty), and the band keys of each document."""
 
     @F.pandas_udf("n_shingles long, s1 long, s2 long, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -132,7 +132,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield out
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", run(text_or_empty()).alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", *text_digest(), run(text_or_empty()).alias("x")).select("doc_id", "t1", "t2", "x.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,8 +171,8 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(bool(both) and 100 * both >= PERCENT * (len(mine) + len(held) - both))
             yield pd.Series(out)
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
+    full = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b")
     return full.where(check("x", "y")).select("a", "b").distinct()
 
 
@@ -270,28 +270,33 @@ def _sketched(texts: DataFrame) -> DataFrame:
         sets = [shingles(t) for t in texts]
         return pd.DataFrame({"n": [len(s) for s in sets], "regs": [r.tobytes() for s in sets for r in registers([s])], "short": [np.unique((s >> _U64(32)).astype(np.uint32)).tobytes() for s in sets]})
 
-    return texts.select(F.col("doc_id").alias("doc"), run("text").alias("x")).select("doc", "x.*")
+    return texts.select("doc", run("text").alias("x")).select("doc", "x.*")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (it is that).
+def _representatives(made: DataFrame) -> DataFrame:
+    """s1, s2, rep (the least doc_id) and doc (a number, in order of rep) of sets with an id.
 
-    Links are similarities of PERCENT or more on sets of five-word shingles. Documents without words, null
-    texts among them, have an empty set, link with nothing and are kept. Repeated rows get equal results. Rows
-    without a doc_id only join documents of an equal set; alone, they keep a null component and are kept.
-    Rows that share a doc_id but not a text are judged by their own text. Other columns are not read.
+    A doc_id is its own number and sets of a single row are left out, unless ids stand for several texts: then
+    every set is there and has a number of its own.
     """
-    docs = docs.select("doc_id", "text")
+    equal = made.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
+    if not ids_shared(made.where("doc_id is not null")):
+        return materialize(equal.where("copies > 1").select("s1", "s2", "rep", F.col("rep").alias("doc")), "copies")
+    return materialize(equal.select("s1", "s2", "rep").orderBy("rep", "s1", "s2").withColumn("doc", F.monotonically_increasing_id()), "sets")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the digests of each row's text and set."""
     made = materialize(sketch(docs), "sketch")
-    equal = made.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = materialize(equal.where("copies > 1 and rep is not null").select("s1", "s2", "rep"), "copies")
-    ranked = made.where("s1 is not null and doc_id is not null").join(hinted(copies), ["s1", "s2"], "left").where("rep is null or rep = doc_id")
-    keys = ranked.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("doc"))
+    sets = _representatives(made)
+    ranked = made.where("s1 is not null and doc_id is not null").join(hinted(sets), ["s1", "s2"], "left").where("rep is null or rep = doc_id").withColumn("doc", F.coalesce("doc", "doc_id"))
+    keys = ranked.select(F.posexplode("bands").alias("band", "key"), "doc")
     buckets = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
     shared = materialize(keys.join(hinted(materialize(buckets, "buckets")), "key"), "shared")
 
-    needed = hinted(materialize(shared.select(F.col("doc").alias("doc_id")).distinct(), "needed"))
-    texts = materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    needed = hinted(materialize(shared.select("doc").distinct(), "needed"))
+    needed = hinted(materialize(ranked.select("doc", "doc_id", "t1", "t2").join(needed, "doc", "left_semi").distinct(), "needed"))
+    texts = materialize(docs.select("*", *text_digest()).join(needed, ["doc_id", "t1", "t2"]).select("doc", "text").dropDuplicates(["doc"]), "texts")
     star = shared.where("first < doc").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
     links = materialize(_similar(star, texts), "links")
     belongs = components(links)
@@ -300,17 +305,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = placed.join(hinted(several), "key", "left_semi").join(materialize(_sketched(texts), "registers"), "doc")
     pairs = materialize(_cross_links(apart).join(star, ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.union(_similar(pairs, texts)), "links")
-    belongs = materialize(components(links).where("id <> component").withColumnRenamed("id", "rep"), "components")
+    belongs = components(links).where("id <> component").select(F.col("id").alias("doc"), "component")
+    belongs = belongs.join(hinted(materialize(sets.select(F.col("doc").alias("component"), F.col("rep").alias("least")).distinct(), "reps")), "component", "left")
+    belongs = materialize(belongs.select("doc", F.coalesce("least", "component").alias("component")), "components")
+
+    whole = made.select("doc_id", "t1", "t2", "n_shingles", "s1", "s2").join(hinted(sets), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    whole = whole.withColumn("doc", F.when(F.col("s1").isNotNull(), F.coalesce("doc", "doc_id"))).join(hinted(belongs), "doc", "left")
+    kept = F.col("component").isNull() & F.col("doc_id").eqNullSafe(F.col("rep"))
+    return whole.select("doc_id", "t1", "t2", "s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), kept.alias("kept"))
+
 
-    whole = made.select("doc_id", "n_shingles", "s1", "s2").join(hinted(copies), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    whole = whole.join(hinted(belongs), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return whole.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (it stands for its component).
+
+    Links are similarities of PERCENT or more on sets of five-word shingles. Documents without words, null
+    texts among them, have an empty set, link with nothing and are kept. Repeated rows get equal results. Rows
+    without a doc_id only join documents of an equal set; alone, they keep a null component and are kept.
+    Rows that share a doc_id but not a text are judged by their own text: unlike ones are all kept, of linked
+    ones one set is. Other columns are not read.
+    """
+    return _judged(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with all columns; of repeated rows, one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = materialize(kept, "kept")
-    left = docs.join(hinted(kept.withColumnRenamed("doc_id", "__id"), 2_000_000), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = left.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One document of each near-duplicate group, with all columns; of repeated rows, one.
+
+    Rows are told apart by doc_id and text, so unlike documents that share an id, or have none, all stay.
+    """
+    kept = _judged(docs.select("doc_id", "text")).where("kept")
+    # Of one id's texts with an equal set, one; texts without words are equal only as they stand.
+    alike = [F.coalesce("s1", "t1").alias("u1"), F.coalesce("s2", "t2").alias("u2"), F.col("s1").isNull().alias("bare")]
+    kept = materialize(kept.groupBy(F.col("doc_id").alias("__id"), *alike).agg(F.min(F.struct("t1", "t2")).alias("t"), F.count("*").alias("n")), "kept")
+    repeated = kept.where("n > 1").limit(1).count()
+    those = hinted(kept.select("__id", F.col("t.t1").alias("__t1"), F.col("t.t2").alias("__t2")), 1_000_000)
+    mine = docs.select("*", *[c.alias(n) for c, n in zip(text_digest(), ("__1", "__2"), strict=True)])
+    left = mine.join(those, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__t1")) & (F.col("__2") == F.col("__t2")), "left_semi")
+    return (left.dropDuplicates(["doc_id", "__1", "__2"]) if repeated else left).select(*docs.columns)
