@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import hinted, materialize, text_or_empty
+from larkspur.llm.common import hinted, ids_shared, materialize, text_digest, text_or_empty
 
 #: Shorter lines are compared as they are: one edit changes too much of them.
 MIN_CHARS = 16
@@ -87,15 +87,12 @@ def _near_partners(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("mine", "theirs", 1).between(0, 1)).groupBy("h").agg(F.min("near").alias("near"))
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """Every line that repeats an earlier one: doc_id, line_no, kept_doc_id, kept_line_no, distance (0 or 1).
-
-    Earlier means a smaller (doc_id, line_no), null ids first; the kept line named is the earliest within one
-    edit, over the whole corpus, in that order. A line may name one that itself goes. Lines of fewer than
-    MIN_CHARS characters only match equal lines. Blank lines always stay; null and empty texts have no lines.
-    Repeated rows are one and the same line, so none of them goes for the other; other columns are not read.
-    """
-    lines = split_lines(docs).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), "line", F.struct("doc_id", "line_no").alias("at"))
+def _repeated_lines(docs: DataFrame, own: list[str]) -> DataFrame:
+    """duplicate_lines with the columns `own` (the text's digest, or none), which tell documents of one doc_id apart."""
+    digests = [F.col(c) for c in own]
+    lines = docs.select("doc_id", *(text_digest() if own else []), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", F.trim("line").alias("line"), *digests).where(F.col("line") != "")
+    lines = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), "line", F.struct("doc_id", "line_no", *digests).alias("at"))
     # Equal lines: 128 bits of hash stand for a line, of which one group is summed up before the shuffle.
     same = materialize(lines.groupBy("h", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("h", "h2", "first"), "equal")
     near = materialize(_near_partners(lines), "near")
@@ -103,13 +100,36 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     found = ids.join(hinted(same), ["h", "h2"], "left").join(hinted(near), "h", "left")
     kept = F.least(F.col("first"), F.col("near"))
     found = found.withColumn("kept", kept).where("kept < at")
-    return found.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), F.when(F.col("kept") == F.col("first"), 0).otherwise(1).alias("distance"))
+    distance = F.when(F.col("kept") == F.col("first"), 0).otherwise(1).alias("distance")
+    return found.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), distance, *[F.col(f"at.{c}").alias(c) for c in own])
+
+
+def _own(docs: DataFrame) -> list[str]:
+    """What tells apart the documents of one doc_id: nothing where ids are unique or stand for one text, so that positions stay narrow."""
+    return ["t1", "t2"] if ids_shared(docs.select("doc_id", *text_digest())) else []
+
+
+def duplicate_lines(docs: DataFrame) -> DataFrame:
+    """Every line that repeats an earlier one: doc_id, line_no, kept_doc_id, kept_line_no, distance (0 or 1).
+
+    Earlier means a smaller (doc_id, line_no), null ids first, then a smaller digest of the text where documents
+    share both; the kept line named is the earliest within one edit, over the whole corpus, in that order. A line
+    may name one that itself goes. Lines of fewer than MIN_CHARS characters only match equal lines. Blank lines
+    always stay; null and empty texts have no lines. Repeated rows (equal doc_id and text) are one and the same
+    line, so none of them goes for the other; other columns are not read.
+    """
+    return _repeated_lines(docs, _own(docs)).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "distance")
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """The documents without their duplicate lines; n_chars follows. Those of which nothing is left go, those that were blank before stay."""
-    gone = materialize(duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
-    df = docs.join(hinted(gone.withColumnRenamed("doc_id", "__id"), 50_000), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = _own(docs)
+    gone = _repeated_lines(docs, own).groupBy(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in own]).agg(F.collect_set("line_no").alias("__gone"))
+    gone = hinted(materialize(gone, "gone"), 50_000)
+    mine = F.col("doc_id").eqNullSafe(F.col("__id"))
+    for digest, name in zip(text_digest(), own, strict=False):
+        mine = mine & (digest == F.col(f"__{name}"))
+    df = docs.join(gone, mine, "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     df = df.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).where(F.col("__gone").isNull() | (F.trim(F.translate("text", "\n", " ")) != ""))
     if "n_chars" in docs.columns:
