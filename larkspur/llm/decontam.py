@@ -6,7 +6,8 @@ block-max WAND with a fixed threshold: all items above it are retrieved, and lis
 lead there are skipped. Before it, a bound is evaluated for all passages of a batch at once, from the rarer
 terms' short lists alone: common terms can't lift an item by more than a known share, so without enough
 weight on an item's rarer terms no search is made. What is retrieved is verified on the
-overlap of the item's question and answer with the passage.
+overlap of the item's question and answer with the passage: shingles for long parts; for short ones, of which
+one changed word breaks most shingles, also their words in order within a stretch of about their length.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ K1, B, BLOCK, THRESHOLD, OVERLAP = 1.2, 0.75, 64, 0.6, 0.75
 #: What an item may hold in common terms alone, so that reaching the threshold takes rarer ones.
 COMMON = 0.25
 SHINGLE = 5
+#: Parts of fewer words may lose more than 1 - OVERLAP of their shingles to one changed word.
+SHORT = 24
+#: What either part must keep if the whole item is covered to OVERLAP: a part of two or three words may have one changed.
+LEAST_PART = 0.5
 #: Texts whose bound is evaluated together.
 TOGETHER = 100
 #: Bytes of benchmark text indexed together; a larger benchmark is searched shard by shard.
@@ -58,6 +63,36 @@ def _grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def in_order(part: list[bytes], words: list[bytes]) -> float:
+    """The greatest share of a part's words that stand in order within some stretch of words, a quarter longer than the part."""
+    bits: dict[bytes, int] = {}
+    for i, w in enumerate(part):
+        bits[w] = bits.get(w, 0) | 1 << i
+    full, reach, best = (1 << len(part)) - 1, len(part) + len(part) // 4, 0
+    where = [i for i, w in enumerate(words) if w in bits]
+    for k, start in enumerate(where):
+        row = full  # Bits that are 0 count the longest common subsequence.
+        for i in where[k : k + reach]:
+            if i >= start + reach:
+                break
+            met = row & bits[words[i]]
+            row = (row + met | row - met) & full
+        best = max(best, len(part) - row.bit_count())
+        if best == len(part):
+            break
+    return best / len(part)
+
+
+def covered(part: list[bytes], grams: set[tuple[bytes, ...]], words: list[bytes], alone: set[bytes], shared: set[tuple[bytes, ...]]) -> float:
+    """How much of a part a passage (words, its distinct ones, its shingles) covers; a missing part counts as found."""
+    if not part:
+        return 1.0
+    share = len(grams & shared) / len(grams) if len(part) >= SHINGLE else len(set(part) & alone) / len(set(part))
+    if share < OVERLAP and SHINGLE <= len(part) < SHORT and sum(w in alone for w in part) >= LEAST_PART * len(part):
+        return max(share, in_order(part, words))
+    return share
+
+
 @dataclass
 class Posting:
     """One term's items in order, their impacts, and the greatest impact of each block and of all."""
@@ -76,6 +111,7 @@ class ItemIndex:
         docs = [terms(t) for _, t in items]
         self.longest = max([1, *map(len, docs)])
         self.parts = [tuple((p, _grams(p)) for p in map(terms, question_and_answer(t))) for _, t in items]
+        self.wholes = [(d, _grams(d)) for d in docs]
         df = Counter(w for d in docs for w in set(d))
         n, mean = len(docs), max(1.0, sum(map(len, docs)) / max(1, len(docs)))
         lists: dict[bytes, list[tuple[int, float]]] = {}
@@ -179,12 +215,13 @@ class ItemIndex:
         return out
 
     def _verify(self, words: list[bytes], query: np.ndarray, best: dict[int, tuple[float, float, float]]) -> None:
-        """Retrieve the passage's items and keep those whose question and answer it covers."""
+        """Retrieve the passage's items and keep those whose question and answer it covers, or the whole and half of either."""
         found = self.retrieve(query[query < len(self.postings)].tolist())
         grams, alone = (_grams(words), set(words)) if found else (set(), set())
         for k, score in found:
-            overlaps = [len(g & grams) / len(g) if len(p) >= SHINGLE else len(set(p) & alone) / len(set(p)) if p else 1.0 for p, g in self.parts[k]]
-            if min(overlaps) >= OVERLAP and (k not in best or score > best[k][0]):
+            overlaps = [covered(p, g, words, alone, grams) for p, g in self.parts[k]]
+            met = min(overlaps) >= OVERLAP or min(overlaps) >= LEAST_PART and covered(*self.wholes[k], words, alone, grams) >= OVERLAP
+            if met and (k not in best or score > best[k][0]):
                 best[k] = (score, *overlaps)
 
 
@@ -211,8 +248,9 @@ def _finder(shared: Broadcast):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Scores are an item's BM25 score for the best passage over its score for its own text. Both parts' five-word
-    shingles (a shorter part's words; a missing part counts as found) must be covered to OVERLAP. Null and empty
+    Scores are an item's BM25 score for the best passage over its score for its own text. Both parts must be
+    covered to OVERLAP, or the whole item to that and either part to LEAST_PART: by five-word shingles, under SHORT
+    words also by words in order, under five by words alone; a missing part counts as found. Null and empty
     texts hold nothing; null items are no items; items without words are never met. Repeated rows of documents
     give repeated rows; other columns are not read.
     """
