@@ -61,12 +61,27 @@ def state_machine(spark: SparkSession, sf: str) -> DataFrame:
     return states.groupBy("user_id").agg(F.max_by("state", "last").alias("state"), F.max("moves").alias("moves"))
 
 
-@query("release_windows")
+@query(
+    "release_windows",
+    """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS release FROM g)
+    SELECT user_id, min(ts) AS opened_at, max(ts) + INTERVAL 1 HOUR AS closes_at, count(*) AS n FROM s GROUP BY user_id, release""",
+)
 def release_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's events within an hour of each other are one release."""
+    """A user's events within an hour of each other are one release; those still open at the end count too."""
+    return releases(spark, _events(spark, sf))
+
+
+def releases(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Micro-batches of releases, made one where they meet; a batch that runs again overwrites its own part."""
     out = scratch(spark, "releases")
-    flows.drain(flows.release_windows(_events(spark, sf), "user_id", "ts", "1 hour", "0 seconds"), out, scratch(spark, "checkpoint"))
-    return spark.read.schema("user_id long, opened_at timestamp, closes_at timestamp, n long").parquet(out)
+
+    def step(batch: DataFrame, number: int) -> None:
+        flows.release_parts(batch, "user_id", "ts", "1 hour").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    flows.drain_each(stream, scratch(spark, "checkpoint"), step)
+    parts = spark.read.schema("user_id long, opened_at timestamp, closes_at timestamp, n long").parquet(out)
+    return flows.merge_releases(parts, "user_id").select("user_id", "opened_at", "closes_at", "n")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,11 +43,30 @@ def outbox(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
 
 
 def release_windows(stream: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:
-    """Events of a key that follow each other within `gap`: one release, closed when the watermark has passed it."""
+    """Events of a key that follow each other within `gap`: one release, closed when the watermark has passed it.
+
+    For streams without an end: rows later than `late` are dropped and open releases are held back. Over an input
+    that ends, fold micro-batches with `release_parts` and `merge_releases`, which lose neither.
+    """
     seen = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return seen.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("opened_at"), F.col("w.end").alias("closes_at"), "n")
 
 
+def release_parts(batch: DataFrame, key: str, time: str, gap: str) -> DataFrame:
+    """The releases within one micro-batch, open ones too: key, opened_at, closes_at, n. Rows without a time have none."""
+    seen = batch.where(F.col(time).isNotNull()).select(key, F.col(time).cast("timestamp").alias("opened_at"))
+    return merge_releases(seen.withColumn("closes_at", F.col("opened_at") + F.expr(f"INTERVAL {gap}")).withColumn("n", F.lit(1).cast("long")), key)
+
+
+def merge_releases(parts: DataFrame, key: str) -> DataFrame:
+    """Releases of all micro-batches made one where they meet; in whatever order rows came, none is late."""
+    before = Window.partitionBy(key).orderBy("opened_at", "closes_at").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce((F.col("opened_at") > F.max("closes_at").over(before)).cast("int"), F.lit(1))
+    upto = Window.partitionBy(key).orderBy("opened_at", "closes_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = parts.withColumn("fresh", fresh).withColumn("release", F.sum("fresh").over(upto))
+    return numbered.groupBy(key, "release").agg(F.min("opened_at").alias("opened_at"), F.max("closes_at").alias("closes_at"), F.sum("n").alias("n")).drop("release")
+
+
 def state_machine(stream: DataFrame, key: str, order: str, event: str, transitions: dict[tuple[str, str], str] | None = None, start: str = "pending") -> DataFrame:
     """Follow every key's state through its events; a row for each key and micro-batch with the state after it.
 
