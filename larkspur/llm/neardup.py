@@ -25,8 +25,8 @@ SHINGLE, PERCENT = 5, 75
 #: Registers, bands of them, and the base and rate of their spacing. At similarity 0.75 all bands miss once in 200,000 pairs.
 REGISTERS, BANDS = 128, 32
 BASE, RATE, TOP = 1.001, 20.0, 65_534
-#: Pairs whose likeliest similarity is below this are not checked: four standard errors under the threshold.
-LEAST_ESTIMATE = 0.6
+#: Pairs whose likeliest similarity is below this are not checked: six standard errors under the threshold.
+LEAST_ESTIMATE = 0.5
 #: Documents of a bucket that one task compares; larger buckets are dealt out as pairs of such blocks.
 BLOCK = 2048
 #: Similarities on shortened hashes from which a pair leaves the task, and from which it surely is a link.
@@ -179,7 +179,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _likely_partners(i: int, to: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Those of `to` in another component that may be similar to i, and how many registers they share."""
     n = g["n"]
-    to = to[(g["component"][to] != g["component"][i]) & (n[to] >= LEAST_ESTIMATE * n[i]) & (n[i] >= LEAST_ESTIMATE * n[to])]
+    to = to[(g["component"][to] != g["component"][i]) & (100 * n[to] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[to])]
     equal = (g["regs"][to] == g["regs"][i]).sum(1)
     near = equal >= REGISTERS * LEAST_ESTIMATE / 2
     to, equal = to[near], equal[near]
