@@ -142,7 +142,7 @@ def search(rows: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec_
     number, and only their smallest ids can be results. A repeated row counts once. Other columns are not read.
     """
     spark = rows.sparkSession
-    bounded_batches(spark, 4096)
+    bounded_batches(spark)
     raw = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     distinct = materialize(raw.groupBy("vec").agg(F.min("id").alias("vid"), F.max("id").alias("last")), "vectors")
     total = distinct.count()
@@ -161,10 +161,10 @@ def search(rows: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec_
 
     # Which ids have equal vectors; `top` ids and the query's own are all that a result can need of them.
     repeated = materialize(distinct.where("vid < last").select("vec", "vid"), "repeated")
-    copies = raw.join(hinted(repeated, 20_000), "vec").select("vid", "id").distinct()
+    copies = raw.join(hinted(repeated), "vec").select("vid", "id").distinct()
     first = copies.withColumn("n", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).where(F.col("n") <= top + 1).select("vid", "id")
     first = materialize(first, "copies")
-    asked = raw.where(F.col("id") % every == 0).join(hinted(repeated, 20_000), "vec", "left")
+    asked = raw.where(F.col("id") % every == 0).join(hinted(repeated), "vec", "left")
     asked = materialize(asked.select(F.col("id").alias("query_id"), F.coalesce("vid", "id").alias("qvid"), "vec").distinct(), "queries")
 
     @F.pandas_udf("int")
@@ -196,7 +196,7 @@ def search(rows: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec_
     enough = near.groupBy("qvid").count().where(F.col("count") >= min(top + 1, total)).select("qvid")
     short = materialize(queries.join(enough, "qvid", "left_anti").select("qvid", "vec", F.lit(float("inf")).alias("bound")), "short")
     near = near.join(short, "qvid", "left_anti").unionByName(_scanned(short, held, parts, space, slice(0, lists), top))
-    full = near.join(hinted(first, 50_000), "vid", "left").select("qvid", F.coalesce("id", "vid").alias("vec_id"), "score")
+    full = near.join(hinted(first), "vid", "left").select("qvid", F.coalesce("id", "vid").alias("vec_id"), "score")
     met = asked.select("query_id", "qvid").join(full, "qvid").where("query_id <> vec_id").select("query_id", "vec_id", "score").distinct()
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

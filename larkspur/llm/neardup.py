@@ -337,7 +337,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     alike = [F.coalesce("s1", "t1").alias("u1"), F.coalesce("s2", "t2").alias("u2"), F.col("s1").isNull().alias("bare")]
     kept = materialize(kept.groupBy(F.col("doc_id").alias("__id"), *alike).agg(F.min(F.struct("t1", "t2")).alias("t"), F.count("*").alias("n")), "kept")
     repeated = kept.where("n > 1").limit(1).count()
-    those = hinted(kept.select("__id", F.col("t.t1").alias("__t1"), F.col("t.t2").alias("__t2")), 1_000_000)
+    those = hinted(kept.select("__id", F.col("t.t1").alias("__t1"), F.col("t.t2").alias("__t2")))
     mine = docs.select("*", *[c.alias(n) for c, n in zip(text_digest(), ("__1", "__2"), strict=True)])
     left = mine.join(those, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__t1")) & (F.col("__2") == F.col("__t2")), "left_semi")
     return (left.dropDuplicates(["doc_id", "__1", "__2"]) if repeated else left).select(*docs.columns)

@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     ready = ready.withColumn("digest", F.sha1("payload"))
     equal = ready.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
     equal = materialize(equal.where("n > 1 and largest is not null").select("digest", "largest"), "equal-payloads")
-    marked = ready.join(hinted(equal, 200_000), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")))
+    marked = ready.join(hinted(equal), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)

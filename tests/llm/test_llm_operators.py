@@ -292,11 +292,11 @@ def test_lines_equal_brute_force(spark):
             many.append("".join(x))
         rng.shuffle(many)
         rows.append((i, "\n".join(many)))
-    rows += [(500, None), (501, ""), (502, "\n \n"), (503, "short"), (504, "shorr"), (505, "short")]
+    rows += [(500, None), (501, ""), (502, "\n \n"), (503, "short"), (504, "shorr"), (505, "short"), (506, "a\nb\nab\nba\nabc"), (507, "w" * 4_000), (508, "w" * 3_999 + "v"), (509, "x" + "w" * 4_000)]
     all_lines = [((d, n), x.strip(" ")) for d, t in rows for n, x in enumerate((t or "").split("\n")) if x.strip(" ")]
     want = []
     for k, (at, x) in enumerate(all_lines):
-        partner = next((a for a, y in all_lines[:k] if x == y or (min(len(x), len(y)) >= lines.MIN_CHARS and within_one(x, y))), None)
+        partner = next((a for a, y in all_lines[:k] if x == y or within_one(x, y)), None)
         if partner:
             want.append((*at, *partner, 0 if any(a == partner and x == y for a, y in all_lines[:k]) else 1))
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("h", F.lit(1))
