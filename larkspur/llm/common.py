@@ -15,7 +15,7 @@ _own_folder: dict[str, str] = {}
 #: Bytes of a table's values that may be broadcast, once they were added up.
 BROADCAST_BYTES = 24 << 20
 #: Bytes and rows of one Arrow batch, so that whole, very long texts fit into a worker's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("-1", str(16 << 20))}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (("67108864", "67108864b", "268435456b", "2147483647b", "2147483647"), str(16 << 20))}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -86,7 +86,7 @@ def hinted(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, for whole and very long texts, where the session still has Spark's own defaults."""
     for key, (default, bound) in BATCH.items():
-        if spark.conf.get(key, default) in (default, "2147483647", "9223372036854775807"):
+        if spark.conf.get(key) in default:
             spark.conf.set(key, bound)
 
 

@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network.
 
 Filters of several widths run over the bytes of fixed-length windows; each filter's largest response in a
-window goes into a softmax over languages. The network is trained in numpy on windows of a bounded sample
-of labelled documents. A document's languages are judged over all of its windows.
+window goes into a softmax over languages. The network is trained in numpy on the windows of a bounded
+sample of labelled documents. A document's languages are judged over all of its windows.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bounded_batches, text_or_empty
+from larkspur.llm.sampling import few_of_each, held_out, within_bounds
 
 #: Bytes of a window, filter widths, filters of each width, numbers for each byte.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
-#: The training sample: documents of each language, windows of each document, and languages (the commonest).
-DOCS_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 400, 6, 64
+#: The training sample: whole texts of so many documents of each language, and none after so many bytes of them.
+DOCS_PER_LANG, BYTES_PER_LANG = 160, 400_000
 EPOCHS, BATCH, STEP = 6, 128, 0.01
 #: Windows that are in memory together; and the least score that the corpus stage accepts, just over an even spread over four.
 CHUNK, LEAST_SCORE = 1024, 0.3
@@ -140,34 +141,20 @@ def train(rows: np.ndarray, labels: np.ndarray, langs: list[str]) -> ByteCnn:
     return ByteCnn(langs, p[0], p[1 : 1 + nw], p[1 + nw : 1 + 2 * nw], p[-2], p[-1])
 
 
-def held_out(parts: int, out: int) -> Column:
-    """Whether a row's remainder of crc32(doc_id as text) is `out`; a null id counts as the text "null"."""
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.lit(parts)) == out
-
-
 def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, labels and languages of the training sample.
+    """Windows, labels and languages of the training sample: all windows of whole texts, of every language.
 
-    DOCS_PER_LANG documents of each language, by a hash of their id; of each, windows spread over its whole
-    text. The sample is the only thing that comes to the driver and its size is a parameter.
+    The sample is the only thing that comes to the driver; DOCS_PER_LANG and BYTES_PER_LANG bound it.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(3, 1)).select("doc_id", "lang", "text")
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(3, 1)).select("doc_id", "lang")
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.join(F.broadcast(common.select("lang")), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANG)
-    picked = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    picked = within_bounds(few_of_each(usable, "lang", DOCS_PER_LANG), "lang", DOCS_PER_LANG, BYTES_PER_LANG)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
-                rows = windows(text.encode("utf-8", "replace"))
-                for i in np.unique(np.linspace(0, len(rows) - 1, WINDOWS_PER_DOC).astype(int)):
-                    out.append((str(doc), lang, rows[i].tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "lang", "window"])
-
-    got = picked.mapInPandas(cut, "doc string, lang string, window binary").toPandas().sort_values(["lang", "doc", "window"], kind="stable")
+            yield pd.DataFrame([(lang, w.tobytes()) for lang, text in zip(pdf["lang"], pdf["text"], strict=True) for w in windows(text.encode("utf-8", "replace"))], columns=["lang", "window"])
+
+    bounded_batches(docs.sparkSession)
+    got = picked.select("lang", "text").mapInPandas(cut, "lang string, window binary").toPandas().sort_values(["lang", "window"], kind="stable")
     langs = sorted(got["lang"].unique().tolist())
     if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
@@ -176,7 +163,10 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text", out: str = "language") -> DataFrame:
-    """Add `out`: struct<lang, score> from the whole text. Texts that are null or without a letter are `und` with score 0."""
+    """Add `out` (replacing a column of that name): struct<lang, score> from the whole text.
+
+    Texts that are null or without a letter are `und` with score 0; of languages with equal averages the first by name counts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

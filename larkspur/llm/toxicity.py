@@ -15,16 +15,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bounded_batches, text_or_empty
-from larkspur.llm.langid import held_out
+from larkspur.llm.sampling import few_of_each, held_out, within_bounds
 
 #: n-gram lengths, their hash buckets, numbers for each, words of a segment.
 NGRAMS, BUCKETS, DIM, SEGMENT = (3, 4, 5), 1 << 17, 8, 12
-#: The training sample: documents of each label, and words of each document (beyond that, segments evenly spread over it).
-DOCS_PER_LABEL, SEGMENTS_PER_DOC = 3000, 40
+#: The training sample: whole texts of so many documents of each label, and none after so many bytes of them.
+DOCS_PER_LABEL, BYTES_PER_LABEL = 3000, 12_000_000
 LEAST_DOCS = 4
 ROUNDS, WHOLE, BATCH, STEP, DECAY, SEED = 14, 2, 256, 0.02, 0.9, 5
 WORD = re.compile(r"\w+")
@@ -68,6 +68,15 @@ class SubwordBag:
         return float(1 / (1 + np.exp(-np.clip((sums / SEGMENT).max() + self.bias, -50, 50))))
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _summed(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of rows by group number."""
+    return np.stack([np.bincount(group, v, groups) for v in values.T], 1)
+
+
 class _Bags:
     """Segments of the sample as word numbers, and the n-gram buckets of each word, end to end."""
 
@@ -76,10 +85,9 @@ class _Bags:
         rows, owner, buckets, sizes = [], [], [], []
         for d, t in enumerate(texts):
             words = WORD.findall(t.lower())
-            cuts = list(range(0, len(words), SEGMENT))
-            for k in np.unique(np.linspace(0, len(cuts) - 1, SEGMENTS_PER_DOC).astype(int)) if cuts else []:
+            for k in range(0, len(words), SEGMENT):
                 row = np.full(SEGMENT, -1, np.int32)
-                for i, w in enumerate(words[cuts[k] : cuts[k] + SEGMENT]):
+                for i, w in enumerate(words[k : k + SEGMENT]):
                     if w not in numbers:
                         numbers[w] = len(numbers)
                         g = grams(w)
@@ -102,13 +110,13 @@ class _Bags:
                 count[np.unique(np.concatenate([self.buckets[self.starts[w] : self.starts[w] + self.sizes[w]] for w in words[words >= 0]]))] += 1
         return count
 
-    def parts(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets, weights and rows of the picked segments."""
+    def parts(self, pick: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the picked segments: each word's number among their distinct words and its segment; of the distinct words, end to end, the buckets, and how many each has."""
         row, place = np.nonzero(self.rows[pick] >= 0)
-        words = self.rows[pick][row, place]
-        n = self.sizes[words]
-        at = np.repeat(self.starts[words] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-        return self.buckets[at], np.repeat(1 / (SEGMENT * n), n), np.repeat(row, n)
+        distinct, word = np.unique(self.rows[pick][row, place], return_inverse=True)
+        n = self.sizes[distinct]
+        at = np.repeat(self.starts[distinct] - _starts(n), n) + np.arange(n.sum())
+        return word, row, self.buckets[at], n
 
     def odds(self, by_bucket: np.ndarray) -> np.ndarray:
         """Each segment's log odds from a number for each bucket."""
@@ -145,19 +153,18 @@ def train(texts: list[str], labels: np.ndarray) -> SubwordBag:
         order = rng.permutation(chosen)
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            idx, wt, row = bags.parts(pick)
-            mean = np.zeros((len(pick), DIM))
-            np.add.at(mean, row, e[idx] * wt[:, None])
+            word, row, buckets, n = bags.parts(pick)
+            vectors = np.add.reduceat(e[buckets], _starts(n)) / n[:, None]
+            mean = _summed(vectors[word], row, len(pick)) / SEGMENT
             s = mean @ w + b
             q = np.exp(s - s.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(pick)), lab[pick]] -= 1
             q *= share[lab[pick]][:, None] / len(pick)
             dw, db, dm = mean.T @ q, q.sum(0), q @ w.T
-            hit, inverse = np.unique(idx, return_inverse=True)
-            grad = np.zeros((len(hit), DIM))
-            np.add.at(grad, inverse, dm[row] * wt[:, None])
-            grad *= learned[hit][:, None]
+            by_word = _summed(dm[row], word, len(n)) / (SEGMENT * n[:, None])
+            hit, inverse = np.unique(buckets, return_inverse=True)
+            grad = _summed(np.repeat(by_word, n, 0), inverse, len(hit)) * learned[hit][:, None]
             ge[hit] += (grad**2).mean(1)
             gw += dw * dw
             gb += db * db
@@ -168,31 +175,22 @@ def train(texts: list[str], labels: np.ndarray) -> SubwordBag:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> SubwordBag | None:
-    """The model of a bounded sample: DOCS_PER_LABEL documents of either label by a hash of their id, never held-out ones.
+    """The model of a bounded sample, DOCS_PER_LABEL and BYTES_PER_LABEL, by a hash of the id; never of held-out documents.
 
-    None where one of the two labels is missing; every score is then 0.
+    A document marked twice is toxic if either mark says so. None where one of the two labels is missing; every score is then 0.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LABEL).select("doc_id", "toxic")
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").where("text <> ''")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            short = []
-            for t in pdf["text"]:
-                words = WORD.findall(t.lower())
-                starts = list(range(0, len(words), SEGMENT))
-                keep = np.unique(np.linspace(0, len(starts) - 1, SEGMENTS_PER_DOC).astype(int)) if starts else []
-                short.append(" ".join(" ".join(words[starts[k] : starts[k] + SEGMENT]) for k in keep))
-            yield pdf.assign(text=short)
-
-    got = sample.mapInPandas(cut, sample.schema).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    chosen = F.broadcast(few_of_each(marked, "toxic", DOCS_PER_LABEL))  # some 4,000 rows of either label
+    sample = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").where("text <> ''")
+    got = within_bounds(sample, "toxic", DOCS_PER_LABEL, BYTES_PER_LABEL).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(got["text"].tolist(), got["toxic"].to_numpy().astype(int)) if got["toxic"].nunique() == 2 else None
 
 
 def score(docs: DataFrame, model: SubwordBag | None, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """Add `out`: the score of each whole text, 0 to 1. Null counts as empty, and empty texts have the model's prior."""
+    """Add `out` (replacing a column of that name): the score of each whole text of any length, 0 to 1.
+
+    Null counts as empty, and empty texts have the model's prior; equal texts have equal scores.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
