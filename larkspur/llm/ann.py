@@ -24,6 +24,8 @@ TOP = 20
 SAMPLE, MOST_LISTS, PROBED, ROUNDS = 16_384, 512, 0.8, 10
 #: Columns read at a time; standard errors of the test; candidates and queries that one task step holds.
 COLUMNS, TEST, BLOCK, QUERIES = 16, 1.8, 8192, 256
+#: Queries of one group, with which a part of a list is searched.
+ASKED = 8192
 
 
 def usable(vector: Column) -> Column:
@@ -123,8 +125,12 @@ def _scanned(queries: DataFrame, held: DataFrame, parts: DataFrame, space: Broad
         return pd.concat(out) if out else pd.DataFrame({"qvid": pd.Series(dtype="int64"), "vid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     asked = queries.select("qvid", "vec", "bound", F.explode(probes("vec")).alias("list"))
-    asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qvid", "vec", "bound")
-    near = asked.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(scan, "qvid long, vid long, score double")
+    # Queries are dealt into blocks too, so that neither side of a group grows with the data.
+    blocks = max(1, -(-queries.count() // ASKED))
+    dealt = F.pmod(F.xxhash64("qvid"), F.lit(blocks)).cast("int").alias("block")
+    asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), dealt, "qvid", "vec", "bound")
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    near = asked.groupBy("list", "part", "block").cogroup(held.groupBy("list", "part", "block")).applyInPandas(scan, "qvid long, vid long, score double")
     return _best(near, top)
 
 

@@ -25,11 +25,13 @@ from tokenizers import Tokenizer
 from larkspur.llm.common import bounded_batches, text_or_empty
 
 #: Words and pairs remembered by a worker; beyond that it starts anew, which changes no result.
-CACHE = 1_000_000
+CACHE = 100_000
 #: Words of at most so many characters are merged by scanning.
 SHORT = 40
 #: Texts of these characters are normalized and split here, others by the library's own parts.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u017e]*")
+#: The normalizer and pre-tokenizer that the patterns here restate; with others the library's own parts are used for all texts.
+_RULES = (["NFC", r"Replace \s+", "Lowercase"], [r"Split 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel"])
 #: The vocabulary's word pattern over lower-case plain texts: letters, one digit, or other signs; white space falls away.
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ž0-9²³¹¼-¾]+")
 
@@ -41,13 +43,23 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
+def _rules(whole: dict) -> tuple[list[str], list[str]]:
+    """The names and patterns of a file's normalizers and pre-tokenizers."""
+    parts = lambda spec, inner: (spec or {}).get(inner) or ([spec] if spec else [])
+    named = lambda part: " ".join([part["type"], *(p["Regex"] for p in [part.get("pattern")] if isinstance(p, dict) and "Regex" in p)])
+    return list(map(named, parts(whole.get("normalizer"), "normalizers"))), list(map(named, parts(whole.get("pre_tokenizer"), "pretokenizers")))
+
+
 class WordBpe:
     """A BPE vocabulary with marked word ends, read from a tokenizer's JSON."""
 
     def __init__(self, spec: bytes):
         whole = json.loads(spec)
         model = whole["model"]
+        if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or whole.get("decoder"):
+            raise ValueError("this encoder reads BPE vocabularies with a mark at word ends and without a decoder of their own")
         self.end: str = model["end_of_word_suffix"]
+        self.plain = _rules(whole) == _RULES
         self.ids: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.ranks: dict[tuple[str, str], int] = {p: r for r, p in enumerate(pairs)}
@@ -152,7 +164,7 @@ class WordBpe:
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(" " + part)
-            elif _PLAIN.fullmatch(part):
+            elif self.plain and _PLAIN.fullmatch(part):
                 found = _WORDS.findall(unicodedata.normalize("NFC", part).lower())
                 out += found if part.isascii() else [w if w.isascii() else "".join(map(self.bytes.__getitem__, w.encode())) for w in found]
             else:

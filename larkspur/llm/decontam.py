@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded_batches, text_or_empty
+from larkspur.llm.common import bounded_batches, materialize, text_or_empty
 
 #: BM25's constants, postings of a block, the share of an item's own score that retrieves it, and that is verified.
 K1, B, BLOCK, THRESHOLD, OVERLAP = 1.2, 0.75, 64, 0.6, 0.75
@@ -93,6 +94,16 @@ def covered(part: list[bytes], grams: set[tuple[bytes, ...]], words: list[bytes]
     return share
 
 
+@dataclass
+class Counts:
+    """What BM25 counts over a whole benchmark: items, their words, the longest one's words, and in how many items each term is."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 @dataclass
 class Posting:
     """One term's items in order, their impacts, and the greatest impact of each block and of all."""
@@ -104,16 +115,19 @@ class Posting:
 
 
 class ItemIndex:
-    """The index of test items (id, text); items without words are in it but can't be met."""
+    """The index of test items (id, text); items without words are in it but can't be met.
+
+    `counts` are those of the whole benchmark, if the items are a shard of it only.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counts: Counts | None = None):
         self.ids = [i for i, _ in items]
         docs = [terms(t) for _, t in items]
-        self.longest = max([1, *map(len, docs)])
+        counts = counts or Counts(len(docs), sum(map(len, docs)), max(map(len, docs), default=0), Counter(w for d in docs for w in set(d)))
+        self.longest = max(1, counts.longest)
         self.parts = [tuple((p, _grams(p)) for p in map(terms, question_and_answer(t))) for _, t in items]
         self.wholes = [(d, _grams(d)) for d in docs]
-        df = Counter(w for d in docs for w in set(d))
-        n, mean = len(docs), max(1.0, sum(map(len, docs)) / max(1, len(docs)))
+        df, n, mean = counts.df, counts.items, max(1.0, counts.words / max(1, counts.items))
         lists: dict[bytes, list[tuple[int, float]]] = {}
         weights = [{w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean)) for w, c in Counter(d).items()} for d in docs]
         for k, own in enumerate(weights):
@@ -123,7 +137,7 @@ class ItemIndex:
         self.postings = [Posting([k for k, _ in p], [x for _, x in p], [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)], max(x for _, x in p)) for p in lists.values()]
         self.number = {w: t for t, w in enumerate(lists)}
         # Common terms: taken from the most frequent on, while no item gathers more than COMMON from them.
-        held, self.rare = np.zeros(n), np.ones(len(self.postings) + 1, bool)
+        held, self.rare = np.zeros(len(docs)), np.ones(len(self.postings) + 1, bool)
         self.rare[-1] = False
         for t in sorted(range(len(self.postings)), key=lambda t: -len(self.postings[t].items)):
             p = self.postings[t]
@@ -225,20 +239,45 @@ class ItemIndex:
                 best[k] = (score, *overlaps)
 
 
-def shards(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in shards of a bounded size. What is read at once is measured first."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+def shards(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Counts | None]]:
+    """The distinct items in shards of about SHARD_BYTES, one in memory at a time, each with the whole benchmark's counts.
+
+    A benchmark of one shard is counted where it is indexed.
+    """
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // SHARD_BYTES)
-    return [sorted({(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator()}) for k in range(n)]
+    if n > 1:
+        items = materialize(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), "items")
+
+        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                split = [terms(t) for t in pdf["text"]]
+                yield pd.DataFrame([(s, len(ws), w) for s, ws in zip(pdf["shard"], split, strict=True) for w in [None, *set(ws)]], columns=["shard", "words", "term"])
+
+        counted = items.mapInPandas(words, "shard int, words long, term binary")
+        whole = counted.where("term is null").agg(F.count("*").alias("items"), F.sum("words").alias("words"), F.max("words").alias("longest")).first()
+        per_shard = materialize(counted.where("term is not null").groupBy("term", "shard").count(), "terms")
+        df = materialize(per_shard.join(per_shard.groupBy("term").agg(F.sum("count").alias("df")), "term").select("shard", "term", "df"), "frequencies")
+    for k in range(n):
+        mine = items.where(F.col("shard") == k).select("item_id", "text") if n > 1 else items
+        counts = Counts(whole["items"], whole["words"], whole["longest"], {bytes(r[0]): r[1] for r in df.where(F.col("shard") == k).select("term", "df").toLocalIterator()}) if n > 1 else None
+        yield sorted((r[0], r[1]) for r in mine.toLocalIterator()), counts
+
+
+_held: dict[str, ItemIndex] = {}
 
 
 def _finder(shared: Broadcast):
-    """A function from texts to their verified items, over one shard of the benchmark."""
+    """A function from texts to their verified items, over one shard of the benchmark. A worker keeps the last shard's index."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("array<struct<item_id long, score double, question_overlap double, answer_overlap double>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = ItemIndex(shared.value)
+        if key not in _held:
+            _held.clear()
+            _held[key] = ItemIndex(*shared.value)
+        index = _held[key]
         for texts in batches:
             yield pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in found] for found in index.search(texts.tolist())])
 
@@ -257,8 +296,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     found = None
-    for items in shards(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    for shard in shards(benchmark):
+        shared = spark.sparkContext.broadcast(shard)
         hits = docs.select("doc_id", F.explode(_finder(shared)(text_or_empty())).alias("x")).select("doc_id", "x.*")
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
@@ -268,7 +307,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no test item is found, with all columns; row by row, so nothing is shuffled."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for items in shards(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    for shard in shards(benchmark):
+        shared = spark.sparkContext.broadcast(shard)
         docs = docs.where(F.size(_finder(shared)(text_or_empty())) == 0)
     return docs

@@ -29,10 +29,12 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 LEAST_ESTIMATE = 0.5
 #: Documents of a bucket that one task compares; larger buckets are dealt out as pairs of such blocks.
 BLOCK = 2048
+#: Documents whose registers one task makes anew.
+SKETCHED = 4000
 #: Similarities on shortened hashes from which a pair leaves the task, and from which it surely is a link.
 LIKELY_LINK, SURE_LINK = 0.74, 0.76
 _U64 = np.uint64
-_WORD_CACHE = 1_000_000
+_WORD_CACHE = 100_000
 
 
 class _WordHashes(dict):
@@ -270,7 +272,9 @@ def _sketched(texts: DataFrame) -> DataFrame:
         sets = [shingles(t) for t in texts]
         return pd.DataFrame({"n": [len(s) for s in sets], "regs": [r.tobytes() for s in sets for r in registers([s])], "short": [np.unique((s >> _U64(32)).astype(np.uint32)).tobytes() for s in sets]})
 
-    return texts.select("doc", run("text").alias("x")).select("doc", "x.*")
+    # The work is Python time, so rows are dealt by number instead of by their bytes.
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // SKETCHED))
+    return texts.repartition(tasks).select("doc", run("text").alias("x")).select("doc", "x.*")
 
 
 def _representatives(made: DataFrame) -> DataFrame:

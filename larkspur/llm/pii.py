@@ -40,6 +40,8 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "", 0.8, r"card|visa|mastercard|amex|payment|kredit|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"phone|\btel\b|call|mobile|fax|telefon|t.l.phone"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.9, r"iban|account|bank|konto|compte|cuenta"),
+    Kind("key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])", "", 0.9, r"key|secret|credential|access"),
+    Kind("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?(?=[a-z+/_.~-]{0,64}[0-9])[a-z0-9+/_.~-]{8,}+", "", 0.8, r"login|credential|config|export"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"\bssn\b|social security|tax id|taxpayer"),
 )
 BASE = 4
@@ -117,7 +119,7 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, a digest of the base spans, all spans, and their mean score."""
+    """One row per document: counts of the base kinds, a digest of the base spans, all spans, counts of the other kinds and of all, and scores."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     found = find_pii(docs.select("doc_id", "text"))
     pii = F.col("pii")
@@ -126,6 +128,6 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *counts[:BASE],
         F.sha2(joined(F.filter(pii, lambda s: s["place"] < BASE)), 256).alias("base_sha256"),
-        joined(pii).alias("spans"), *counts[BASE:],
+        joined(pii).alias("spans"), *counts[BASE:], F.size(pii).cast("long").alias("n_spans"),
         F.array_join(F.transform(pii, lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import bounded_batches, text_or_empty
 
 SPACE, UNKNOWN_PENALTY = "\u2581", 10.0
-CACHE = 1_000_000
+CACHE = 100_000
 
 
 class _Counts(dict):

@@ -28,7 +28,7 @@ DOCS_PER_LABEL, BYTES_PER_LABEL = 3000, 12_000_000
 LEAST_DOCS = 4
 ROUNDS, WHOLE, BATCH, STEP, DECAY, SEED = 14, 2, 256, 0.02, 0.9, 5
 WORD = re.compile(r"\w+")
-CACHE = 1_000_000
+CACHE = 100_000
 
 
 def grams(word: str) -> list[int]:
