@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspur.llm.common import bounded_batches, text_or_empty
+from larkspur.llm.common import bounded_batches, resident, text_or_empty
 
 #: Words and pairs remembered by a worker; beyond that it starts anew, which changes no result.
 CACHE = 100_000
@@ -185,14 +185,8 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def _tokenizer(spec: bytes) -> WordBpe:
-    key = hashlib.sha256(spec).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = WordBpe(spec)
-    return _loaded[key]
+    return resident(hashlib.sha256(spec).hexdigest(), lambda: WordBpe(spec))
 
 
 def read_vocabulary(path: str) -> bytes:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_folder: dict[str, str] = {}
+_resident: dict[str, Any] = {}
 
 #: Bytes of a table's values that may be broadcast, once they were added up.
 BROADCAST_BYTES = 24 << 20
 #: Bytes and rows of one Arrow batch, so that whole, very long texts fit into a worker's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (("67108864", "67108864b", "268435456b", "2147483647b", "2147483647"), str(16 << 20))}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (("67108864", "67108864b", "268435456b", "2147483647b", "2147483647"), str(4 << 20))}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,6 +94,15 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, bound)
 
 
+def resident(key: str, make: Callable[[], Any]) -> Any:
+    """The one large model that a Python worker keeps from task to task; asking for another lets the former go."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def text_or_empty(name: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded_batches, materialize, text_or_empty
+from larkspur.llm.common import bounded_batches, materialize, resident, text_or_empty
 
 #: BM25's constants, postings of a block, the share of an item's own score that retrieves it, and that is verified.
 K1, B, BLOCK, THRESHOLD, OVERLAP = 1.2, 0.75, 64, 0.6, 0.75
@@ -265,19 +265,13 @@ def shards(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Counts
         yield sorted((r[0], r[1]) for r in mine.toLocalIterator()), counts
 
 
-_held: dict[str, ItemIndex] = {}
-
-
 def _finder(shared: Broadcast):
     """A function from texts to their verified items, over one shard of the benchmark. A worker keeps the last shard's index."""
     key = uuid.uuid4().hex
 
     @F.pandas_udf("array<struct<item_id long, score double, question_overlap double, answer_overlap double>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _held:
-            _held.clear()
-            _held[key] = ItemIndex(*shared.value)
-        index = _held[key]
+        index = resident(key, lambda: ItemIndex(*shared.value))
         for texts in batches:
             yield pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in found] for found in index.search(texts.tolist())])
 

@@ -24,7 +24,7 @@ WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 DOCS_PER_LANG, BYTES_PER_LANG = 160, 400_000
 EPOCHS, BATCH, STEP = 6, 128, 0.01
 #: Windows that are in memory together; and the least score that the corpus stage accepts, just over an even spread over four.
-CHUNK, LEAST_SCORE = 1024, 0.3
+CHUNK, LEAST_SCORE = 256, 0.3
 UNKNOWN = "und"
 
 

@@ -141,18 +141,19 @@ def drop_duplicate_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     """The documents without their duplicate lines; n_chars follows. Those of which nothing is left go, those that were blank before stay.
 
     Lines of fewer than min_chars characters go for an equal line only: in them one edit is another word, not a slip.
+    Column names beginning with `__dup_` are used inside; all others pass through.
     """
     own = _own(docs)
-    gone = _repeated_lines(docs, own, min_chars).groupBy(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in own]).agg(F.collect_set("line_no").alias("__gone"))
+    gone = _repeated_lines(docs, own, min_chars).groupBy(F.col("doc_id").alias("__dup_id"), *[F.col(c).alias(f"__dup_{c}") for c in own]).agg(F.collect_set("line_no").alias("__dup_gone"))
     gone = hinted(materialize(gone, "gone"))
-    mine = F.col("doc_id").eqNullSafe(F.col("__id"))
+    mine = F.col("doc_id").eqNullSafe(F.col("__dup_id"))
     for digest, name in zip(text_digest(), own, strict=False):
-        mine = mine & (digest == F.col(f"__{name}"))
+        mine = mine & (digest == F.col(f"__dup_{name}"))
     df = docs.join(gone, mine, "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    df = df.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).where(F.col("__gone").isNull() | (F.trim(F.translate("text", "\n", " ")) != ""))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__dup_gone"), i)), "\n")
+    df = df.withColumn("text", F.when(F.col("__dup_gone").isNull(), F.col("text")).otherwise(left)).where(F.col("__dup_gone").isNull() | (F.trim(F.translate("text", "\n", " ")) != ""))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        df = df.withColumn("n_chars", F.when(F.col("__dup_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return df.select(*docs.columns)
 
 

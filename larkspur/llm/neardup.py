@@ -128,7 +128,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             if full:
                 out.loc[full, "s1"] = [xxhash.xxh3_64_intdigest(sets[k].tobytes(), 1) - (1 << 63) for k in full]
                 out.loc[full, "s2"] = [xxhash.xxh3_64_intdigest(sets[k].tobytes(), 2) - (1 << 63) for k in full]
-                bands = np.concatenate([_bands(registers([sets[k] for k in full[i : i + 64]])) for i in range(0, len(full), 64)])
+                # Few shingles at a time, which keeps the work in small arrays.
+                turns = np.cumsum([len(sets[k]) for k in full]) // 32_768
+                bands = np.concatenate([_bands(registers([sets[full[i]] for i in np.flatnonzero(turns == t)])) for t in np.unique(turns)])
                 out["bands"] = pd.Series(list(bands), index=full).reindex(out.index)
                 out["bands"] = out["bands"].where(out["bands"].notna(), None)
             yield out
@@ -335,13 +337,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with all columns; of repeated rows, one.
 
     Rows are told apart by doc_id and text, so unlike documents that share an id, or have none, all stay.
+    Column names beginning with `__kept_` and `__own_` are used inside.
     """
     kept = _judged(docs.select("doc_id", "text")).where("kept")
     # Of one id's texts with an equal set, one; texts without words are equal only as they stand.
     alike = [F.coalesce("s1", "t1").alias("u1"), F.coalesce("s2", "t2").alias("u2"), F.col("s1").isNull().alias("bare")]
-    kept = materialize(kept.groupBy(F.col("doc_id").alias("__id"), *alike).agg(F.min(F.struct("t1", "t2")).alias("t"), F.count("*").alias("n")), "kept")
+    kept = materialize(kept.groupBy(F.col("doc_id").alias("__kept_id"), *alike).agg(F.min(F.struct("t1", "t2")).alias("t"), F.count("*").alias("n")), "kept")
     repeated = kept.where("n > 1").limit(1).count()
-    those = hinted(kept.select("__id", F.col("t.t1").alias("__t1"), F.col("t.t2").alias("__t2")))
-    mine = docs.select("*", *[c.alias(n) for c, n in zip(text_digest(), ("__1", "__2"), strict=True)])
-    left = mine.join(those, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__t1")) & (F.col("__2") == F.col("__t2")), "left_semi")
-    return (left.dropDuplicates(["doc_id", "__1", "__2"]) if repeated else left).select(*docs.columns)
+    those = hinted(kept.select("__kept_id", F.col("t.t1").alias("__kept_t1"), F.col("t.t2").alias("__kept_t2")))
+    mine = docs.select("*", *[c.alias(n) for c, n in zip(text_digest(), ("__own_t1", "__own_t2"), strict=True)])
+    left = mine.join(those, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__own_t1") == F.col("__kept_t1")) & (F.col("__own_t2") == F.col("__kept_t2")), "left_semi")
+    return (left.dropDuplicates(["doc_id", "__own_t1", "__own_t2"]) if repeated else left).select(*docs.columns)

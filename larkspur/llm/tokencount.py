@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded_batches, text_or_empty
+from larkspur.llm.common import bounded_batches, resident, text_or_empty
 
 SPACE, UNKNOWN_PENALTY = "\u2581", 10.0
 CACHE = 100_000
@@ -101,9 +101,6 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size())]
 
 
-_loaded: dict[str, PieceCounter] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Add `out`: the number of tokens of each whole text (long). Null and empty texts have none.
 
@@ -114,10 +111,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         key = hashlib.sha256(packed.value).hexdigest()
-        if key not in _loaded:
-            _loaded[key] = PieceCounter(pickle.loads(packed.value))
+        counter = resident(key, lambda: PieceCounter(pickle.loads(packed.value)))
         for texts in batches:
-            yield pd.Series([_loaded[key].count(t) for t in texts], dtype="int64")
+            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(out, run(text_or_empty(text)))
