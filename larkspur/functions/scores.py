@@ -30,6 +30,16 @@ def opportunity(pay: Column, company: Column, role: Column) -> Column:
     return half_up(F.try_divide(total, F.nullif(weight, F.lit(0.0))))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays, in doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def unit(a: Column) -> Column:
+    """The array at length one, in doubles; null for a zero vector."""
+    return F.transform(a, lambda p: F.try_divide(p.cast("double"), F.sqrt(dot(a, a))))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays, clamped to [0, 1]; null for zero vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Corporate suffixes that a company key drops.
-SUFFIXES = "inc|incorporated|llc|ltd|limited|corp|corporation|co|company|plc|gmbh"
+FIXED_SUFFIXES = "co|company|corp|corporation|inc|incorporated|limited|llc|ltd|plc"
+#: One more that this engine adds.
+SUFFIXES = f"{FIXED_SUFFIXES}|gmbh"
 
 
 def fold_marks(text: Column) -> Column:

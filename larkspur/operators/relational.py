@@ -57,6 +57,18 @@ def ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame
     return ranged.join(F.broadcast(base), F.col("__p") == F.col("__q")).withColumn(name, F.col("__base") + F.row_number().over(inner) - 1).drop("__p", "__q", "__base")
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, width: int = 10_000, name: str = "place") -> DataFrame:
+    """A running number from 1 within each key (none of them null), by a whole number that grows with the rows, though a key may hold most rows.
+
+    Rows of a key are numbered within stretches of `width` of `order`; the counts of earlier stretches are added.
+    """
+    cut = df.withColumn("__s", F.floor(F.col(order) / width))
+    counts = cut.groupBy(*keys, "__s").agg(F.count("*").alias("__c"))
+    before = counts.withColumn("__before", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__s")) - F.col("__c")).drop("__c")
+    inner = F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(order))
+    return cut.withColumn("__i", inner).join(before, [*keys, "__s"]).withColumn(name, F.col("__before") + F.col("__i")).drop("__s", "__i", "__before")
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """The last value that isn't null, up to and with this row, within each key."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -77,8 +89,8 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 
 
 def after_key(df: DataFrame, order: list[str], last: list, limit: int) -> DataFrame:
-    """A keyset page: the rows behind `last` in ascending order; deep pages cost no more than the first."""
-    return df.where(F.struct(*order) > F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c) for c, x in zip(order, last, strict=True)])).orderBy(*order).limit(limit)
+    """A keyset page: the rows behind `last` in ascending order. The leading column's bound is pushed to the scan."""
+    return df.where(F.col(order[0]) >= F.lit(last[0]).cast(df.schema[order[0]].dataType)).where(F.struct(*order) > F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c) for c, x in zip(order, last, strict=True)])).orderBy(*order).limit(limit)
 
 
 def least_due(branches: list[tuple[DataFrame, str]], key: str, limit: int) -> DataFrame:

@@ -98,9 +98,13 @@ def size_packing(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.pack(turns, "conv_id", "turn", "size", 1200)
 
 
+#: Blocks that rows are dealt into for exact search; more of them for more rows.
+BLOCKS = 32
+
+
 @query(
     "vector_topk",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(greatest(0, least(1, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings ON vec_id <> query_id AND label <> 3)
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(greatest(0, least(1, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings ON vec_id <> query_id AND label <> 3)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= 5""",
 )
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +112,9 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     v = table(spark, sf, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    met = v.where("label <> 3").join(asked, F.col("vec_id") != F.col("query_id"))
-    scored = met.select("query_id", "vec_id", F.round(scores.cosine(F.col("e"), F.col("embedding")), 6).alias("score"))
+    # Rows are dealt into blocks that each meet all queries, by an equal key: nothing is broadcast, whatever its size.
+    unit = v.select("vec_id", "label", scores.unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).alias("block"))
+    asked = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias("block"))
+    met = unit.where("label <> 3").hint("shuffle_hash").join(asked, "block").where("vec_id <> query_id")
+    scored = met.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scores.dot(F.col("q"), F.col("u")))), 6).alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 5")

@@ -1,0 +1,80 @@
+"""Classes told by patterns, over titles and messages that rows choose from."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.catalogue import query
+from larkspur.functions import assess, patterns
+from larkspur.session import table
+
+TITLES = (
+    "Software Engineering Intern", "New Grad Machine Learning Engineer", "Mechanical Design Co-op, HVAC", "Senior Accountant", "Graduate Programme in Trading", "Campus Hire: Systems Test",
+    "Product Manager", "Structural Drafting Technologist", "Medical Devices Working Student", "RF and Power Systems Internship", "Battery Materials Apprentice", "Renewable Energy Analyst, entry-level",
+)
+TEXTS = ("You must be a US citizen. Nice to have: Master's.", "A PhD is required; any citizen may apply.", "Requires United States citizenship or an advanced degree", "No demands.")
+MESSAGES = ("Application link timed out", "application host rejected", "Malformed JSON in body", "suspicious zero-row snapshot", "Worker exceeded CPU limit", "socket hang up", "constraint failed")
+PLACES = ("NYC", "New York, NY", "Remote - US", "remote", "Austin, TX", "  Paris!  ")
+LINKS = ("https://a.test/x?utm_source=q&id=7#top", "https://a.test/x?id=7&b=%20", "HTTP://a.test/?gclid=1", "ftp://a.test/?utm_x=1", "https://a.test")
+
+
+def _pick(values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("o_orderkey") % len(values)).cast("int") + 1)
+
+
+def _sql(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][CAST(o_orderkey % {len(values)} AS INT) + 1]"
+
+
+def _matches(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+def _requires(column: str, what: str) -> str:
+    return f"({_matches(column, rf'\b(?:must|requires?|requirement|eligible only)\b[^.]{{0,120}}{what}')} OR {_matches(column, rf'{what}[^.]{{0,80}}\b(?:required|must)\b')})"
+
+
+@query(
+    "job_categories",
+    f"""WITH t AS (SELECT {_sql(TITLES)} AS title FROM orders) SELECT title, count(*) AS n, any_value(array_to_string(list_filter([{", ".join(f"CASE WHEN {_matches('title', p)} THEN '{c}' END" for c, p in patterns.CATEGORIES.items())}], lambda x: x IS NOT NULL), ',')) AS categories, any_value({_matches("title", "|".join(patterns.LIFECYCLE))}) AS early FROM t GROUP BY 1""",
+)
+def job_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Counted by title first, so patterns are tried once for each different title."""
+    titles = table(spark, sf, "orders").groupBy(_pick(TITLES).alias("title")).agg(F.count("*").alias("n"))
+    return titles.withColumn("categories", F.array_join(patterns.categories(F.col("title")), ",")).withColumn("early", patterns.early_career(F.col("title")))
+
+
+@query(
+    "stated_requirements",
+    f"""WITH t AS (SELECT DISTINCT {_sql(TEXTS)} AS said FROM orders) SELECT said, {_requires("said", patterns.CITIZEN)} AS citizen, {_requires("said", patterns.DEGREE)} AS degree FROM t""",
+)
+def stated_requirements(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "orders").select(_pick(TEXTS).alias("said")).distinct()
+    return said.select("said", patterns.requires(F.col("said"), patterns.CITIZEN).alias("citizen"), patterns.requires(F.col("said"), patterns.DEGREE).alias("degree"))
+
+
+@query(
+    "failure_categories",
+    f"""WITH t AS (SELECT {_sql(MESSAGES)} AS m FROM orders) SELECT m AS message, CASE {" ".join(f"WHEN {_matches('m', p)} THEN '{c}'" for c, p in patterns.FAILURES)} ELSE '{patterns.FAILURE_ELSE}' END AS category, count(*) AS n FROM t GROUP BY ALL""",
+)
+def failure_categories(spark: SparkSession, sf: str) -> DataFrame:
+    by_message = table(spark, sf, "orders").groupBy(_pick(MESSAGES).alias("message")).agg(F.count("*").alias("n"))
+    return by_message.withColumn("category", patterns.failure_category(F.col("message")))
+
+
+@query(
+    "location_keys",
+    f"""WITH t AS (SELECT trim(regexp_replace(lower({_sql(PLACES)}), '[^a-z0-9]+', ' ', 'g')) AS p FROM orders) SELECT CASE WHEN regexp_matches(p, '^(nyc|new york city|new york ny)$') THEN 'new york ny' WHEN regexp_matches(p, '^remote( us| usa| united states)?$') THEN 'remote' ELSE p END AS place, count(*) AS n FROM t GROUP BY 1""",
+)
+def location_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy(assess.location_key(_pick(PLACES)).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "public_links",
+    """SELECT * FROM (VALUES ('https://a.test/x?utm_source=q&id=7#top', 'https://a.test/x?id=7#top'), ('https://a.test/x?id=7&b=%20', 'https://a.test/x?id=7&b=%20'), ('HTTP://a.test/?gclid=1', 'HTTP://a.test/'), ('ftp://a.test/?utm_x=1', 'ftp://a.test/?utm_x=1'), ('https://a.test', 'https://a.test')) AS t(link, public)""",
+)
+def public_links(spark: SparkSession, sf: str) -> DataFrame:
+    links = table(spark, sf, "orders").select(_pick(LINKS).alias("link")).distinct()
+    return links.withColumn("public", assess.public_url(F.col("link")))

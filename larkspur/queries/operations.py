@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
 from larkspur.functions import scores, text
+from larkspur.operators import relational
 from larkspur.session import table
 
 
@@ -21,7 +22,7 @@ def export_bundle(spark: SparkSession, sf: str) -> DataFrame:
 def dispatch_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Due work of each group in batches of at most 25 ids."""
     due = table(spark, sf, "orders").where("o_orderstatus = 'P'")
-    placed = due.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1) / 25))
+    placed = relational.numbered(due, ["o_orderpriority"], "o_orderkey").withColumn("batch", F.floor((F.col("place") - 1) / 25))
     g = placed.groupBy("o_orderpriority", "batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
     return g.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 

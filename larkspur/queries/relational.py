@@ -168,9 +168,11 @@ def conditional_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("unnest_facets", "SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2 HAVING count(*) >= 20")
 def unnest_facets(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", "lang", F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
-    per_doc = words.groupBy("lang", "word", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("lang", "word").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 20")
+    """Words and the documents that hold them: both are rows of one explode, so sums combine before the only shuffle."""
+    said = lambda words, n, d: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(d).alias("d")))
+    both = F.concat(said(F.split("text", " "), 1, 0), said(F.array_distinct(F.split("text", " ")), 0, 1))
+    rows = table(spark, sf, "documents").select("lang", F.inline(both)).where("word <> ''")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("d").alias("docs")).where("n >= 20")
 
 
 @query("grouped_struct_list", "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1")
@@ -179,9 +181,10 @@ def grouped_struct_list(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("l_orderkey", F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["l_linenumber"].cast("string"), s["l_partkey"].cast("string"))), ",").alias("lines"))
 
 
-@query("conflict_free_map", "SELECT user_id, min(event_type) AS event_type FROM events WHERE value > 90 GROUP BY 1 HAVING min(event_type) = max(event_type)")
+@query("conflict_free_map", "SELECT user_id * 100 + day(ts) AS visit, min(event_type) AS event_type FROM events WHERE value > 90 GROUP BY 1 HAVING min(event_type) = max(event_type)")
 def conflict_free_map(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.conflict_free(table(spark, sf, "events").where("value > 90"), "user_id", "event_type")
+    visits = table(spark, sf, "events").where("value > 90").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("visit"), "event_type")
+    return relational.conflict_free(visits, "visit", "event_type")
 
 
 @query(

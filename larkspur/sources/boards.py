@@ -20,10 +20,14 @@ def _instant(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text))
 
 
+def _within(jobs: Column, most: int) -> Column:
+    """The jobs as they are, or a failure where they are more than a board may hold, so that none goes unseen."""
+    return F.when(F.size(jobs) > most, F.raise_error(F.lit(f"a board holds more than {most} jobs"))).otherwise(jobs)
+
+
 def greenhouse(spark: SparkSession, path: str, source_id: str, most: int = 5000) -> DataFrame:
-    """Postings of Greenhouse boards. Updated times keep their meaning: they are never creation times."""
-    boards = _read(spark, path, GREENHOUSE, True).where(F.size("jobs") <= most)
-    j = boards.select(F.explode("jobs").alias("j"))
+    """Postings of Greenhouse boards; one of more than `most` jobs fails the read. Updated times keep their meaning: they are never creation times."""
+    j = _read(spark, path, GREENHOUSE, True).select(F.explode(_within(F.col("jobs"), most)).alias("j"))
     return j.select(F.lit(source_id).alias("source_id"), F.col("j.id").cast("string").alias("external_id"), F.col("j.title").alias("title"), F.array_compact(F.array("j.location.name")).alias("locations"), F.col("j.absolute_url").alias("apply_url"), _instant(F.col("j.updated_at")).alias("provider_time"), F.lit("updated").alias("semantics"))
 
 
@@ -35,8 +39,8 @@ def lever(spark: SparkSession, path: str, source_id: str) -> DataFrame:
 
 
 def ashby(spark: SparkSession, path: str, source_id: str, most: int = 1000) -> DataFrame:
-    """Listed postings of Ashby boards."""
-    j = _read(spark, path, ASHBY, True).where(F.size("jobs") <= most).select(F.explode("jobs").alias("j")).where("j.isListed")
+    """Listed postings of Ashby boards; one of more than `most` jobs fails the read."""
+    j = _read(spark, path, ASHBY, True).select(F.explode(_within(F.col("jobs"), most)).alias("j")).where("j.isListed")
     places = F.array_distinct(F.array_compact(F.concat(F.array("j.location"), F.coalesce(F.transform("j.secondaryLocations", lambda s: s["location"]), F.array().cast("array<string>")))))
     return j.select(F.lit(source_id).alias("source_id"), F.col("j.id").alias("external_id"), F.col("j.title").alias("title"), places.alias("locations"), F.coalesce("j.applyUrl", "j.jobUrl").alias("apply_url"), _instant(F.col("j.publishedAt")).alias("provider_time"), F.lit("published").alias("semantics"))
 

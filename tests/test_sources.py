@@ -9,7 +9,7 @@ from larkspur.sources import boards, documents
 LIST = """# Roles
 | Company | Role | Location | Apply |
 | --- | --- | --- | --- |
-| **Acme** | Intern \\| Data | Rome | [go](https://a.com/1) |
+| **Quillfen** | Intern \\| Data | Rome | [go](https://a.com/1) |
 | ↳ | Intern B | Oslo | 🔒 |
 | too | few |
 | Beta | C | Bonn | https://b.com/2 |
@@ -19,7 +19,7 @@ LIST = """# Roles
 def test_markdown(spark):
     docs = spark.createDataFrame([(1, LIST), (2, None), (3, "")], "doc long, text string")
     got = [tuple(r) for r in documents.listings(docs, "doc", "text").orderBy("line").collect()]
-    assert got == [(1, 1, 4, "Acme", "Intern | Data", "Rome", "https://a.com/1", False), (1, 1, 5, "Acme", "Intern B", "Oslo", None, True), (1, 1, 7, "Beta", "C", "Bonn", "https://b.com/2", False)]
+    assert got == [(1, 1, 4, "Quillfen", "Intern | Data", "Rome", "https://a.com/1", False), (1, 1, 5, "Quillfen", "Intern B", "Oslo", None, True), (1, 1, 7, "Beta", "C", "Bonn", "https://b.com/2", False)]
 
 
 def test_html(spark):
