@@ -48,3 +48,10 @@ def backoff_seconds(failures: Column, first: int = 60, most: int = 1800, floor:
 def due_slot(ts: Column, seconds: int = 1800) -> Column:
     """The number of the polling slot that an instant lies in."""
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / seconds)
+
+
+def next_daily(ts: Column, zone: str, minute: int) -> Column:
+    """The next instant after `ts`, by a minute at least, at which the zone's clock shows `minute` of the day; seconds stay as they are."""
+    local = F.from_utc_timestamp(ts.cast("timestamp"), known_zone(zone))
+    day = F.when(minute_of_day(local) >= minute, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
+    return F.to_utc_timestamp(F.timestamp_seconds(F.unix_date(day) * 86_400 + minute * 60 + F.second(local)), known_zone(zone))
