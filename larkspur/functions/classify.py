@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import company_key
+
 
 def categories(text: Column, patterns: dict[str, str]) -> Column:
     """The names of the patterns that a text matches, in order."""
@@ -41,3 +43,17 @@ def past_season(name: Column, today: Column) -> Column:
 
 def work_mode(text: Column) -> Column:
     return F.when(text.rlike(r"(?i)\bhybrid\b"), "hybrid").when(text.rlike(r"(?i)\bremote\b"), "remote").when(text.rlike(r"(?i)\bon-?site\b|\bin person\b"), "onsite")
+
+
+# Employers of two classes, as they are written.
+LARGE = ("alphabet", "google", "google deepmind", "amazon", "amazon web services", "aws", "apple", "meta", "facebook", "instagram", "whatsapp", "netflix")
+STARTUPS = (
+    "astranis", "benchling", "brex", "checkr", "deel", "gusto", "mercury", "modern treasury", "notion", "plaid", "posthog", "retool", "rippling", "scale ai", "sentry", "sentry io",
+    "sourcegraph", "supabase", "vanta", "vercel", "webflow", "weights biases", "zapier",
+)
+
+
+def employer_category(company: Column) -> Column:
+    """faang, startup or normal, by the company's key; null counts as normal."""
+    key = F.coalesce(company_key(company), F.lit(""))
+    return F.when(key.isin(*LARGE), "faang").when(key.isin(*STARTUPS), "startup").otherwise("normal")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
-from larkspur.functions import money
+from larkspur.functions import classify, money
 from larkspur.plans import selection
 from larkspur.session import table
 
@@ -27,6 +27,9 @@ PAY = {
 }
 
 
+EMPLOYERS = {"Google LLC": "faang", "Meta Inc.": "faang", "Metaview": "normal", "Notion Company, Inc.": "startup", "Sentry.io": "startup", "Weights & Biases": "startup", "Apple Bank": "normal", "": "normal"}
+
+
 @query(
     "closed_selection",
     """WITH RECURSIVE d AS (SELECT l_orderkey AS g, l_linenumber AS i, max(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
@@ -158,3 +161,11 @@ def pay_ranges(spark: SparkSession, sf: str) -> DataFrame:
     stated = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(texts, ((F.col("l_orderkey") + F.col("l_linenumber")) % len(PAY)).cast("int") + 1).alias("text"))
     told = F.transform(money.pay_ranges(F.col("text")), lambda x: F.concat(x["low"].cast("long").cast("string"), F.lit("-"), x["high"].cast("long").cast("string"), F.lit(" "), x["currency"], F.lit(" "), x["period"]))
     return stated.select("l_orderkey", "l_linenumber", F.array_join(told, ", ").alias("told"))
+
+
+@query("employer_categories", f"SELECT o_orderkey, ['{"', '".join(EMPLOYERS.values())}'][CAST(o_orderkey % {len(EMPLOYERS)} AS INT) + 1] AS category FROM orders")
+def employer_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of employers, over names that rows choose from."""
+    names = F.array(*[F.lit(n) for n in EMPLOYERS])
+    named = table(spark, sf, "orders").select("o_orderkey", F.element_at(names, (F.col("o_orderkey") % len(EMPLOYERS)).cast("int") + 1).alias("name"))
+    return named.select("o_orderkey", classify.employer_category(F.col("name")).alias("category"))
