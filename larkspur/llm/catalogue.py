@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import ann, bpe, decontam, langid, lines, neardup, tokencount, toxicity, warc
+from larkspur.llm import ann, bpe, decontam, langid, lines, neardup, periodic, quality, tokencount, toxicity, warc, whiten
 from larkspur.llm.pii import pii_digest
 from larkspur.session import table
 
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": lambda spark, sf: toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op7_warc": lambda spark, sf: warc.archive_and_read(table(spark, sf, "pages")),
     "op4_nearest_neighbours": lambda spark, sf: ann.search(table(spark, sf, "embeddings")),
+    "op11_periodic_runs": lambda spark, sf: periodic.run_digest(table(spark, sf, "documents")),
+    "op12_whitening": lambda spark, sf: whiten.whiten(table(spark, sf, "embeddings")),
+    "op13_quality": lambda spark, sf: quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_line_dedup": lambda spark, sf: lines.duplicate_lines(table(spark, sf, "documents")),
 }
 ORACLE: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op7_warc": warc.ORACLE}

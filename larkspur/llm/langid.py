@@ -147,7 +147,7 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     The sample is the only thing that comes to the driver; DOCS_PER_LANG and BYTES_PER_LANG bound it.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(3, 1)).select("doc_id", "lang", "text")
-    picked = within_bounds(few_of_each(usable, "lang", DOCS_PER_LANG), "lang", DOCS_PER_LANG, BYTES_PER_LANG)
+    picked = within_bounds(few_of_each(usable, "lang", DOCS_PER_LANG, ("doc_id", "text")), "lang", DOCS_PER_LANG, BYTES_PER_LANG)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bounded_batches, text_or_empty
-from larkspur.llm.sampling import few_of_each, held_out, within_bounds
+from larkspur.llm.sampling import held_out, marked_texts
 
 #: n-gram lengths, their hash buckets, numbers for each, words of a segment.
 NGRAMS, BUCKETS, DIM, SEGMENT = (3, 4, 5), 1 << 17, 8, 12
@@ -179,10 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> SubwordBag | None:
 
     A document marked twice is toxic if either mark says so. None where one of the two labels is missing; every score is then 0.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = F.broadcast(few_of_each(marked, "toxic", DOCS_PER_LABEL))  # some 4,000 rows of either label
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").where("text <> ''")
-    got = within_bounds(sample, "toxic", DOCS_PER_LABEL, BYTES_PER_LABEL).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    got = marked_texts(docs, labels, "toxic", DOCS_PER_LABEL, BYTES_PER_LABEL).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(got["text"].tolist(), got["toxic"].to_numpy().astype(int)) if got["toxic"].nunique() == 2 else None
 
 
