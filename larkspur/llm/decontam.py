@@ -6,8 +6,8 @@ block-max WAND with a fixed threshold: all items above it are retrieved, and lis
 lead there are skipped. Before it, a bound is evaluated for all passages of a batch at once, from the rarer
 terms' short lists alone: common terms can't lift an item by more than a known share, so without enough
 weight on an item's rarer terms no search is made. What is retrieved is verified on the
-overlap of the item's question and answer with the passage: shingles for long parts; for short ones, of which
-one changed word breaks most shingles, also their words in order within a stretch of about their length.
+overlap of the item's question and answer with the passage: shingles, and, as a few changed words break many
+shingles, also the part's words in order within a stretch of about its length.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ K1, B, BLOCK, THRESHOLD, OVERLAP = 1.2, 0.75, 64, 0.6, 0.75
 #: What an item may hold in common terms alone, so that reaching the threshold takes rarer ones.
 COMMON = 0.25
 SHINGLE = 5
-#: Parts of fewer words may lose more than 1 - OVERLAP of their shingles to one changed word.
-SHORT = 24
 #: What either part must keep if the whole item is covered to OVERLAP: a part of two or three words may have one changed.
 LEAST_PART = 0.5
 #: Texts whose bound is evaluated together.
@@ -89,7 +87,7 @@ def covered(part: list[bytes], grams: set[tuple[bytes, ...]], words: list[bytes]
     if not part:
         return 1.0
     share = len(grams & shared) / len(grams) if len(part) >= SHINGLE else len(set(part) & alone) / len(set(part))
-    if share < OVERLAP and SHINGLE <= len(part) < SHORT and sum(w in alone for w in part) >= LEAST_PART * len(part):
+    if share < OVERLAP and len(part) >= SHINGLE and sum(w in alone for w in part) >= LEAST_PART * len(part):
         return max(share, in_order(part, words))
     return share
 
@@ -282,8 +280,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap.
 
     Scores are an item's BM25 score for the best passage over its score for its own text. Both parts must be
-    covered to OVERLAP, or the whole item to that and either part to LEAST_PART: by five-word shingles, under SHORT
-    words also by words in order, under five by words alone; a missing part counts as found. Null and empty
+    covered to OVERLAP, or the whole item to that and either part to LEAST_PART: by five-word shingles or by words in
+    order, under five words by words alone; a missing part counts as found. Null and empty
     texts hold nothing; null items are no items; items without words are never met. Repeated rows of documents
     give repeated rows; other columns are not read.
     """

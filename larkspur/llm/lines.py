@@ -137,10 +137,10 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return _repeated_lines(docs, _own(docs), min_chars).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "distance")
 
 
-def drop_duplicate_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The documents without their duplicate lines; n_chars follows. Those of which nothing is left go, those that were blank before stay.
 
-    Lines of fewer than min_chars characters go for an equal line only: in them one edit is another word, not a slip.
+    Lines go as `duplicate_lines` says; those of fewer than min_chars characters, by default none, for an equal line only.
     Column names beginning with `__dup_` are used inside; all others pass through.
     """
     own = _own(docs)

@@ -22,3 +22,16 @@ def test_equal_lines_at_one_number_are_found(spark):
         docs = spark.createDataFrame([(doc_id, "the very same first line\nleft", 1), (doc_id, "the very same first line\nright", 1)], FIELDS)
         assert [tuple(r) for r in lines.duplicate_lines(docs).collect()] == [(doc_id, 0, doc_id, 0, 0)]
         assert sorted(len(r.text.split("\n")) for r in lines.drop_duplicate_lines(docs).collect()) == [1, 2]
+
+
+def test_one_edit_goes_at_every_length(spark):
+    # Of each pair of lines one edit apart the later goes, however short they are.
+    rows = []
+    for n in range(1, 40):
+        word = "".join(chr(0x4E00 + (n * 50 + i)) for i in range(n))
+        rows += [(2 * n, f"{word}\nkeep {n:02d} {n * n * n:08d} {chr(0x5E00 + n) * 9}", 1), (2 * n + 1, f"{word[:-1]}\u0416\nstay {n:02d} {n * 77:08d} {chr(0x6E00 + n) * 9}", 1)]
+    docs = spark.createDataFrame(rows, FIELDS)
+    gone = {(r.doc_id, r.line_no) for r in lines.duplicate_lines(docs).collect()}
+    left = {r.doc_id: r.text for r in lines.drop_duplicate_lines(docs).collect()}
+    assert {(2 * n + 1, 0) for n in range(1, 40)} <= gone
+    assert all(left.get(d, "").split("\n") == [x for i, x in enumerate(t.split("\n")) if (d, i) not in gone] for d, t, _ in rows)
