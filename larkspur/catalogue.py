@@ -24,5 +24,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-for _module in ("relational", "reconciliation", "catalog", "scalars", "operations", "streams", "merging", "assessments", "classes", "extraction", "delivery", "selection"):
+for _module in ("relational", "reconciliation", "catalog", "scalars", "operations", "streams", "merging", "assessments", "classes", "extraction", "delivery", "selection", "publishing"):
     import_module(f"larkspur.queries.{_module}")
