@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.catalogue import query
 from larkspur.plans import reconcile
 from larkspur.session import table
-from larkspur.streaming import flows
+from larkspur.streaming import flows, keyed
 
 _own: dict[str, str] = {}
 
@@ -105,3 +105,56 @@ def qualification(spark: SparkSession, sf: str) -> DataFrame:
 @query("material_hashes", "SELECT o_orderkey, sha256('{\"o_orderstatus\":\"' || o_orderstatus || '\",\"o_orderpriority\":\"' || o_orderpriority || '\"}') AS material FROM orders")
 def material_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", reconcile.material_hash("o_orderstatus", "o_orderpriority").alias("material"))
+
+
+#: The events of the table as events of an admission: by type, and by whether the id is even.
+ADMISSION = {"view": ("dispatch", "lease"), "click": ("settle", "lease"), "error": ("retry", "quarantine"), "purchase": ("mark-absent", "reopen"), "signup": ("reappear", "reclaim-lease")}
+HOUR = 3_600_000
+_NAMES = " ".join(f"WHEN event_type = '{t}' AND event_id % 2 = {k} THEN '{e}'" for t, pair in ADMISSION.items() for k, e in enumerate(pair))
+
+
+@query(
+    "admission_moves",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, CASE {_NAMES} END AS event, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+    m AS (
+        SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS t, 'pending' AS state, 0 AS attempts, 0::BIGINT AS retry_at, 0::BIGINT AS lease_until, NULL::VARCHAR AS event, NULL::VARCHAR AS was, true AS ok, false AS reclaimed FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL
+        SELECT user_id, k, t, CASE WHEN NOT ok THEN was WHEN event = 'mark-absent' THEN 'absent' WHEN event = 'lease' THEN 'processing' WHEN event = 'settle' THEN 'settled' WHEN event = 'quarantine' OR event = 'retry' AND attempts >= 2 THEN 'quarantined' ELSE 'queued' END,
+            CASE WHEN NOT ok OR event IN ('lease', 'quarantine', 'reclaim-lease') THEN attempts WHEN event = 'retry' THEN attempts + 1 ELSE 0 END,
+            CASE WHEN NOT ok OR event IN ('lease', 'quarantine', 'reclaim-lease') THEN retry_at WHEN event = 'retry' AND attempts = 0 THEN t + {2 * HOUR} WHEN event = 'retry' AND attempts = 1 THEN t + {8 * HOUR} ELSE 0 END,
+            CASE WHEN ok THEN CASE WHEN event = 'lease' THEN t + {24 * HOUR} ELSE 0 END ELSE lease_until END, event, was, ok, reclaimed
+        FROM (SELECT *, CASE event WHEN 'dispatch' THEN was IN ('pending', 'absent') WHEN 'lease' THEN was IN ('pending', 'queued') AND t >= retry_at WHEN 'reopen' THEN was IN ('settled', 'quarantined') WHEN 'mark-absent' THEN true WHEN 'reappear' THEN was = 'absent' ELSE was = 'processing' END AS ok
+            FROM (SELECT m.user_id, e.k, e.t, e.event, m.attempts, m.retry_at, CASE WHEN m.state = 'processing' AND m.lease_until <= e.t THEN 'queued' ELSE m.state END AS was, CASE WHEN m.state = 'processing' AND m.lease_until <= e.t THEN 0 ELSE m.lease_until END AS lease_until, m.state = 'processing' AND m.lease_until <= e.t AS reclaimed FROM m JOIN e ON e.user_id = m.user_id AND e.k = m.k + 1) x) y
+    ),
+    last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM m)
+    SELECT user_id, event, was, state, ok, count(*) AS n FROM (
+        SELECT user_id, event, was, state, ok FROM m WHERE k > 0
+        UNION ALL SELECT user_id, 'reclaim-lease', 'processing', 'queued', true FROM m WHERE reclaimed
+        UNION ALL SELECT user_id, 'reclaim-lease', 'processing', 'queued', true FROM last WHERE r = 1 AND state = 'processing' AND lease_until <= (SELECT max(epoch_us(ts) // 1000) FROM events)
+    ) GROUP BY ALL""",
+)
+def admission_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each user's row moved by each event from each state, leases that ran out among them."""
+    named = F.expr(f"CASE {_NAMES} END").alias("event")
+    stream = flows.read_events(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema).select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_id", named)
+    out = scratch(spark, "admission")
+    with keyed.rocks(spark):
+        flows.drain(keyed.admission(stream, "user_id", delays=(2 * HOUR, 8 * HOUR), lease=24 * HOUR), out, scratch(spark, "checkpoint"))
+    moves = spark.read.parquet(out)
+    return moves.groupBy("user_id", "event", "was", "state", F.col("reason").isNull().alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "first_event_releases",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events),
+    x AS (SELECT DISTINCT user_id, t, min(t) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {12 * HOUR} FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+    w AS (SELECT user_id, min(t) AS opened_at FROM e GROUP BY 1 UNION ALL SELECT w.user_id, x.following FROM w JOIN x ON x.user_id = w.user_id AND x.t = w.opened_at WHERE x.following IS NOT NULL),
+    g AS (SELECT w.user_id, w.opened_at, count(*) AS n, string_agg(e.event_id, ',' ORDER BY e.event_id) AS ids FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.opened_at AND e.t < w.opened_at + {12 * HOUR} GROUP BY w.user_id, w.opened_at)
+    SELECT user_id, opened_at, opened_at + {12 * HOUR} AS flush_at, n, left(sha256('release-v1|' || user_id || '|' || opened_at || '|' || ids), 20) AS release_id FROM g WHERE opened_at + {12 * HOUR} <= (SELECT max(t) FROM e)""",
+)
+def first_event_releases(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events within twelve hours of the first one are a release; those still open at the end aren't out yet."""
+    out = scratch(spark, "releases")
+    with keyed.rocks(spark):
+        flows.drain(keyed.first_event_windows(_events(spark, sf), "user_id", 12 * HOUR, "0 seconds"), out, scratch(spark, "checkpoint"))
+    return spark.read.parquet(out).select("user_id", "opened_at", "flush_at", F.size("members").cast("long").alias("n"), "release_id")
