@@ -74,6 +74,8 @@ SEASON_MONTH = {"winter": "01", "spring": "05", "summer": "08", "fall": "12", "a
 _MONTH_YEAR = r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\s+20\d{2}\b"
 _SEASON_YEAR = r"(?i)\b(?:Winter|Spring|Summer|Fall|Autumn)\s+20\d{2}\b"
 _GRADUATION = r"(?i)\b(?:graduat(?:es|ed|ing|ion)|graduate(?!\s+(?:students?|school|degree|program|intern|level)\b)|class of|degree completion)\b"
+# What speaks of the job's own time, not of an applicant's.
+_HIRING = r"(?i)\b(?:(?<!degree\s)(?<!academic\s)(?:internship|program|role|position|job)\s+(?:starts?|begins?|runs?|occurs?|in)\b|(?:winter|spring|summer|fall)\s+(?:20\d{2}\s+(?:internship|program|role|position|job)|internship\s+20\d{2}))\b"
 
 
 def _says(text: Column, pattern: str) -> Column:
@@ -164,9 +166,14 @@ def housing_kinds(text: Column) -> Column:
 
 
 def graduation_window(text: Column) -> Column:
-    """struct<start, end> of the months in which a text's graduation clauses lie; whole years where no month is told; null where nothing is."""
+    """struct<start, end> of the months in which a text's graduation clauses lie; whole years where no month is told; null where nothing is.
+
+    What a clause says of the job's own time, before the graduation or behind it, is cut off.
+    """
     clauses = F.filter(_clauses(text), lambda c: c.rlike(_GRADUATION))
-    context = F.array_join(F.transform(clauses, lambda c: F.left(F.get(F.split(c, r"(?i)\b(?:applications? (?:close|deadline)|apply by)\b"), 0), F.lit(400))), " ")
+    first = lambda c, p: F.regexp_instr(c, F.lit(p))
+    own = lambda c: F.when(first(c, _HIRING) == 0, c).when(first(c, _HIRING) < first(c, _GRADUATION), F.substr(c, first(c, _GRADUATION))).otherwise(F.left(c, first(c, _HIRING) - 1))
+    context = F.array_join(F.transform(F.transform(clauses, own), lambda c: F.left(F.get(F.split(c, r"(?i)\b(?:applications? (?:close|deadline)|apply by)\b"), 0), F.lit(400))), " ")
     number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, f"{k:02d}")])
     season = F.create_map(*[F.lit(v) for pair in SEASON_MONTH.items() for v in pair])
     named = F.transform(F.regexp_extract_all(context, F.lit(_MONTH_YEAR), F.lit(0)), lambda d: F.concat(F.right(d, F.lit(4)), F.lit("-"), number[F.lower(F.left(d, F.lit(3)))]))

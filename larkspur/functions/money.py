@@ -34,11 +34,13 @@ def agreed(values: Column) -> Column:
 CODES = (
     "USD|CAD|AUD|NZD|SGD|HKD|EUR|GBP|JPY|CNY|INR|CHF|SEK|NOK|DKK|PLN|CZK|HUF|RON|BRL|MXN|ARS|CLP|COP|KRW|TWD|IDR|MYR|PHP|THB|VND|ILS|AED|SAR|ZAR|TRY|XXX"
 )
-PERIODS = {"hourly": "hourly|hour|hr", "annual": "yearly|year|yr|annum|annually|annualized|annual", "daily": "daily|day", "weekly": "weekly|week", "monthly": "monthly|month", "other": "biweekly|bi-weekly|semimonthly|semi-monthly|fortnightly|one-time"}
+PERIODS = {"hourly": "hourly|hour|hr", "annual": "yearly|year|yr|annum|annually|annualized|annual", "daily": "daily|day", "weekly": "weekly|week", "monthly": "monthly|month", "other": "biweekly|bi-weekly|semimonthly|semi-monthly|bimonthly|fortnightly|one-time"}
 #: What isn't base pay.
 NO_PAY = r"(?i)\b(?:sign[ -]?on|signing bonus|revenue|salary expectations?|desired salary|stipend|lunch allowance)\b"
 _PLAIN = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 STATED = rf"(?i)(?:\b({CODES})\s?)?([$€£])?\s?({_PLAIN})\s?(k)?(?:\s?(?:-|–|—|to)\s?(?:({CODES})\s?)?[$€£]?\s?({_PLAIN})\s?(k)?)?\s?(?:({CODES})\s?)?(?:/\s?|per\s|an?\s)?\s?\b({'|'.join(PERIODS.values())})\b"
+#: Pay whose period stands in a label before the amounts: label, code, sign, amount, thousands, second amount, thousands, code.
+LABELLED = rf"(?i)\b(hourly|annual(?:ized)?|yearly|daily|weekly|monthly)\s+(?:(?:base|estimated|starting)\s+)?(?:pay|salary|wage|rate|compensation)(?:\s+range)?[^.;$€£\d]{{0,100}}?(?:({CODES})\s*)?([$€£])\s*({_PLAIN})\s*(k)?(?:\s*(?:-|–|—|to)\s*[$€£]?\s*({_PLAIN})\s*(k)?)?(?:\s*\(?({CODES})\b\)?)?(?!\s?(?:/|per\b))"
 
 
 def _stated(hit: Column) -> Column:
@@ -50,17 +52,26 @@ def _stated(hit: Column) -> Column:
     return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.coalesce(code, symbol).alias("currency"), period.alias("period"))
 
 
+def _labelled(hit: Column) -> Column:
+    at = lambda g: F.regexp_extract(hit, LABELLED, g)
+    a, b = _number(at(4), at(5)), F.when(at(6) != "", _number(at(6), at(7))).otherwise(_number(at(4), at(5)))
+    code = F.upper(F.coalesce(*[F.nullif(at(g), F.lit("")) for g in (2, 8)]))
+    symbol = F.when(at(3) == "€", "EUR").when(at(3) == "£", "GBP").otherwise("XXX")
+    period = F.when(F.lower(at(1)).rlike("^(?:annual|yearly)"), "annual").otherwise(F.lower(at(1)))
+    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.coalesce(code, symbol).alias("currency"), period.alias("period"))
+
+
 def pay_ranges(text: Column) -> Column:
-    """array<struct<low, high, currency, period>> of all pay that a text states with a period, distinct and sorted.
+    """array<struct<low, high, currency, period>> of all pay that a text states with a period, behind the amounts or in a label before them, distinct and sorted.
 
     A bare dollar sign is an unknown currency (XXX). Segments that name several currencies or speak of bonuses and
     stipends are passed over. Dollars must be plausible (5 to 500 an hour, 10,000 to 1,000,000 a year); other money is
     never converted. A single value that is an end of a range of the same period goes. Null and empty texts have none.
     """
-    segments = F.split(F.coalesce(text, F.lit("")), r"(?<=[.;])\s+|\s*[;\n]\s*")
+    segments = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\bUS\$", "USD \\$"), r"(?<=[.;])\s+|\s*[;\n]\s*")
     codes = lambda s: F.size(F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)\b({CODES})\b"), F.lit(1)), F.upper)))
     told = F.filter(segments, lambda s: ~s.rlike(NO_PAY) & (codes(s) <= 1))
-    found = F.flatten(F.transform(told, lambda s: F.transform(F.regexp_extract_all(s, F.lit(STATED), F.lit(0)), _stated)))
+    found = F.flatten(F.transform(told, lambda s: F.concat(F.transform(F.regexp_extract_all(s, F.lit(STATED), F.lit(0)), _stated), F.transform(F.regexp_extract_all(s, F.lit(LABELLED), F.lit(0)), _labelled))))
     usd = lambda x, low, high: (x["low"] >= low) & (x["high"] <= high)
     plausible = lambda x: F.when(x["currency"] != "USD", (x["low"] > 0) & (x["high"] <= 1_000_000_000)).when(x["period"] == "hourly", usd(x, 5, 500)).when(x["period"] == "annual", usd(x, 10_000, 1_000_000)).otherwise((x["low"] > 0) & (x["high"] <= 1_000_000))
     kept = F.array_sort(F.array_distinct(F.filter(found, lambda x: x["currency"].isNotNull() & plausible(x))))

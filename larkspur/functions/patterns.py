@@ -46,6 +46,7 @@ FAILURES = (
     ("quality", r"quality|suspicious zero-row"),
     ("capacity", r"exceeded(?: cpu| memory)?|resource limit|too much cpu|out of memory|memory limit|response body too large|too many jobs|no browser available"),
     ("transport", r"timeout|timed out|aborted|fetch|network|socket|econn"),
+    ("transport", r"d1 statement did not settle"),
 )
 
 
@@ -68,6 +69,11 @@ def requires(text: Column, what: str) -> Column:
     return _says(text, rf"\b(?:must|requires?|requirement|eligible only)\b[^.]{{0,120}}{what}") | _says(text, rf"{what}[^.]{{0,80}}\b(?:required|must)\b")
 
 
+def requires_citizenship(text: Column) -> Column:
+    """Whether a sentence demands citizenship, or takes nobody but citizens: `only` up to 120 characters before them, or up to 80 behind."""
+    return requires(text, CITIZEN) | _says(text, rf"\bonly\b[^.]{{0,120}}{CITIZEN}") | _says(text, rf"{CITIZEN}[^.]{{0,80}}\bonly\b")
+
+
 def failure_category(message: Column) -> Column:
     """The category of a failure's message: the first pattern that it meets."""
     tried = F

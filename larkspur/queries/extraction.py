@@ -1,133 +1,14 @@
-"""What texts say, over texts that rows choose from; results that SQL can't compute are told text by text."""
+"""Ids, destinations, digests and searches of what was extracted."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
 from larkspur.functions import extract, time
 from larkspur.session import table
 
-ROLES = (
-    "SWE Internship, Cloud Platform", "Machine Learning Engineer - New Grad", "Quantitative Trading Analyst", "UX Designer (Mobile)", "Cybersecurity Co-op", "Product Manager, C++ & C#", "Praktikum Data Analytics",
-    "University Recruiter, Campus Talent", "Apprentice Baker", "Campus Hire: Développeur", "Entry-level Accountant",
-)
-
-EDUCATION = {
-    "BS required, MS preferred.": ("undergraduate", None),
-    "Master the team's domain.": ("", None),
-    "No Master's degree is required.": ("", None),
-    "Open to Bachelor's, Master's or PhD students.": ("doctoral,masters,undergraduate", None),
-    "5 ms latency; BA in Physics": ("undergraduate", None),
-    "Please select your degree: Masters / PhD": ("", None),
-    "MBA candidates welcome": ("mba", None),
-    "You must have a Bachelor's or Master's degree.": ("masters,undergraduate", "bachelors"),
-    "PhD required. Publications are a plus.": ("doctoral", "doctoral"),
-    "Minimum education: high school.": ("", "high-school"),
-    "": ("", None),
-}
-
-HOUSING = {
-    "Interns receive a housing stipend. Meals are extra.": "stipend",
-    "We provide free housing; you pay for rent abroad.": "employer-paid,employee-cost",
-    "Housing is not provided.": "",
-    "Reasonable accommodation for interviews.": "",
-    "Housing will be provided at no cost to interns not working fully remote.": "employer-paid",
-    "Company accommodation is available for interns": "available",
-    "Housing assistance is offered": "",
-}
-
-GRADUATION = {
-    "Graduating between December 2026 and Spring 2027.": ("2026-12", "2027-05"),
-    "Class of 2027 or 2028": ("2027-01", "2028-12"),
-    "Graduate students may apply by May 2026.": (None, None),
-    "Expected graduation June 2027. Applications close May 2026": ("2027-06", "2027-06"),
-    "Degree completion in 2026; start in 2029": ("2026-01", "2026-12"),
-    "No dates": (None, None),
-}
-
-BADGES = {
-    "Acorn Labs 🇺🇸 | 🎓": "Acorn Labs",
-    "Pine Robotics - US citizenship required": "Pine Robotics",
-    "Elm; Master's degree required ; Engineer": "Elm; Engineer",
-    "Oak": "Oak",
-}
-
-PAGES = {
-    "This position has been filled.": True,
-    "No longer available": True,
-    "We are no longer accepting applications for this role": True,
-    "Sorry, we're no longer accepting applications for this role": False,
-    "The job expired in the test suite": False,
-    "Job closed!": True,
-    "Applications open": False,
-}
-
-
-def _pick(values: list[str] | tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("o_orderkey") % len(values)).cast("int") + 1)
-
-
-def _said(spark: SparkSession, sf: str, values: list[str] | tuple[str, ...]) -> DataFrame:
-    """Each text that an order chooses, once."""
-    return table(spark, sf, "orders").select(_pick(values).alias("said")).distinct()
-
-
-def _text(value: str | bool | None) -> str:
-    return "NULL" if value is None else str(value).upper() if isinstance(value, bool) else "'" + value.replace("'", "''") + "'"
-
-
-def _told(values: dict, *names: str) -> str:
-    """SQL that says each text's result outright."""
-    rows = [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in values.items()]
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) AS t({', '.join(('said', *names))})"
-
-
-def _sql(values: tuple[str, ...]) -> str:
-    return f"[{', '.join(map(_text, values))}][CAST(o_orderkey % {len(values)} AS INT) + 1]"
-
-
-def _first(patterns: tuple[tuple[str, str], ...]) -> str:
-    return " ".join(f"WHEN regexp_matches(said, '(?i){p}') THEN '{name or 'unknown'}'" for name, p in patterns)
-
-
-@query(
-    "role_titles",
-    f"""WITH t AS (SELECT DISTINCT {_sql(ROLES)} AS said FROM orders)
-    SELECT said, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(said)), '\\bswe\\b', 'software engineer', 'g'), '\\binternship\\b', 'intern', 'g'), '[^a-z0-9+#]+', ' ', 'g')) AS search,
-    array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(said, '(?i){p}') THEN '{d}' END" for d, p in extract.DISCIPLINES.items())}], lambda x: x IS NOT NULL), ',') AS disciplines, CASE {_first(extract.PROGRAMMES)} ELSE 'unknown' END AS programme FROM t""",
-)
-def role_titles(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.col("said")
-    return _said(spark, sf, ROLES).select(said, extract.search_title(extract.display_title(said)).alias("search"), F.array_join(extract.disciplines(said), ",").alias("disciplines"), extract.programme(said).alias("programme"))
-
-
-@query("education", _told(EDUCATION, "levels", "minimum"))
-def education(spark: SparkSession, sf: str) -> DataFrame:
-    return _said(spark, sf, list(EDUCATION)).select("said", F.array_join(extract.education_levels(F.col("said")), ",").alias("levels"), extract.minimum_degree(F.col("said")).alias("minimum"))
-
-
-@query("housing", _told(HOUSING, "kinds"))
-def housing(spark: SparkSession, sf: str) -> DataFrame:
-    return _said(spark, sf, list(HOUSING)).select("said", F.array_join(extract.housing_kinds(F.col("said")), ",").alias("kinds"))
-
-
-@query("graduation_windows", _told(GRADUATION, "first_month", "last_month"))
-def graduation_windows(spark: SparkSession, sf: str) -> DataFrame:
-    window = extract.graduation_window(F.col("said"))
-    return _said(spark, sf, list(GRADUATION)).select("said", window["start"].alias("first_month"), window["end"].alias("last_month"))
-
-
-@query("badges", _told(BADGES, "shown"))
-def badges(spark: SparkSession, sf: str) -> DataFrame:
-    return _said(spark, sf, list(BADGES)).select("said", extract.without_badges(F.col("said")).alias("shown"))
-
-
-@query("closure_phrases", _told(PAGES, "closed"))
-def closure_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return _said(spark, sf, list(PAGES)).select("said", extract.closed(F.col("said")).alias("closed"))
-
 
 @query(
     "posting_ids",

@@ -6,29 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
-from larkspur.functions import classify, money
 from larkspur.plans import selection
 from larkspur.session import table
 
 SIGNALS = ("final-url", "official-application-host", "jsonld-url", "logo-dev", "brandfetch", "page-title", "reviewed-ats-domain", "platform-name", "ats-tenant", "reviewed-domain", "opengraph")
 
-PAY = {
-    "Pay: $25 - $30 per hour.": [(25.0, 30.0, "XXX", "hourly")],
-    "USD 90,000 to 120,000 per year": [(90000.0, 120000.0, "USD", "annual")],
-    "The range is $90k - $120k/yr": [(90000.0, 120000.0, "XXX", "annual")],
-    "£450 weekly in London; €3,000 - €3,500 monthly in Berlin": [(450.0, 450.0, "GBP", "weekly"), (3000.0, 3500.0, "EUR", "monthly")],
-    "USD 20 hourly or CAD 25 hourly": [],
-    "A signing bonus of USD 20,000 per year": [],
-    "USD 2 - 3 per hour": [],
-    "$25 per hour\nUSD $25 - $30 per hour": [(25.0, 30.0, "USD", "hourly")],
-    "JPY 400,000 per month": [(400000.0, 400000.0, "JPY", "monthly")],
-    "Teams of 5 per year": [],
-    "": [],
-}
-
-
-EMPLOYERS = {"Google LLC": "faang", "Meta Inc.": "faang", "Metaview": "normal", "Notion Company, Inc.": "startup", "Sentry.io": "startup", "Weights & Biases": "startup", "Apple Bank": "normal", "": "normal"}
-
 
 @query(
     "closed_selection",
@@ -143,29 +125,3 @@ def verified_selection(spark: SparkSession, sf: str) -> DataFrame:
 def first_destinations(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as documents, parts as what they point to."""
     return selection.first_destinations(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
-
-
-def _literal(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _pay_sql() -> str:
-    rows = [f"({k}, {_literal(', '.join(f'{int(low)}-{int(high)} {currency} {period}' for low, high, currency, period in told))})" for k, told in enumerate(PAY.values())]
-    return f"SELECT l_orderkey, l_linenumber, told FROM lineitem JOIN (VALUES {', '.join(rows)}) v(k, told) ON k = (l_orderkey + l_linenumber) % {len(PAY)}"
-
-
-@query("pay_ranges", _pay_sql())
-def pay_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """All pay that a text states, over texts that rows choose from."""
-    texts = F.array(*[F.lit(t) for t in PAY])
-    stated = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(texts, ((F.col("l_orderkey") + F.col("l_linenumber")) % len(PAY)).cast("int") + 1).alias("text"))
-    told = F.transform(money.pay_ranges(F.col("text")), lambda x: F.concat(x["low"].cast("long").cast("string"), F.lit("-"), x["high"].cast("long").cast("string"), F.lit(" "), x["currency"], F.lit(" "), x["period"]))
-    return stated.select("l_orderkey", "l_linenumber", F.array_join(told, ", ").alias("told"))
-
-
-@query("employer_categories", f"SELECT o_orderkey, ['{"', '".join(EMPLOYERS.values())}'][CAST(o_orderkey % {len(EMPLOYERS)} AS INT) + 1] AS category FROM orders")
-def employer_categories(spark: SparkSession, sf: str) -> DataFrame:
-    """Classes of employers, over names that rows choose from."""
-    names = F.array(*[F.lit(n) for n in EMPLOYERS])
-    named = table(spark, sf, "orders").select("o_orderkey", F.element_at(names, (F.col("o_orderkey") % len(EMPLOYERS)).cast("int") + 1).alias("name"))
-    return named.select("o_orderkey", classify.employer_category(F.col("name")).alias("category"))
