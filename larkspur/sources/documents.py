@@ -22,24 +22,29 @@ def _cells(line: str) -> list[str]:
     return [c.strip().replace("\\|", "|") for c in _CELL.split(inner)]
 
 
+def markdown_rows(text: str | None) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """Table number, line (from 1), header and cells of each row of a text's pipe tables whose number of cells is the header's."""
+    lines = (text or "").split("\n")
+    number, i = 0, 0
+    while i + 1 < len(lines):
+        if "|" in lines[i] and "|" in lines[i + 1] and all(_SEPARATOR.fullmatch(c) for c in _cells(lines[i + 1])):
+            header = _cells(lines[i])
+            number, i = number + 1, i + 2
+            while i < len(lines) and "|" in lines[i]:
+                cells = _cells(lines[i])
+                if len(cells) == len(header):
+                    yield number, i + 1, header, cells
+                i += 1
+        else:
+            i += 1
+
+
 @udtf(returnType=ROWS)
 class MarkdownTables:
     """Pipe tables: a header, a separator, and the rows whose number of cells is the header's. Lines count from 1."""
 
     def eval(self, text: str) -> Iterator[tuple]:
-        lines = (text or "").split("\n")
-        number, i = 0, 0
-        while i + 1 < len(lines):
-            if "|" in lines[i] and "|" in lines[i + 1] and all(_SEPARATOR.fullmatch(c) for c in _cells(lines[i + 1])):
-                header = _cells(lines[i])
-                number, i = number + 1, i + 2
-                while i < len(lines) and "|" in lines[i]:
-                    cells = _cells(lines[i])
-                    if len(cells) == len(header):
-                        yield number, i + 1, header, cells
-                    i += 1
-            else:
-                i += 1
+        yield from markdown_rows(text)
 
 
 @udtf(returnType=ROWS)
