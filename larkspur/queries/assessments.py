@@ -116,15 +116,30 @@ def read_back_check(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("whole", F.col("rows_read") == F.col("ids"))
 
 
-@query(
-    "cohort_root",
-    """WITH l AS (SELECT left(md5(o_orderkey::VARCHAR), 2) AS b, md5(o_orderkey::VARCHAR) AS h FROM orders), b AS (SELECT b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM l GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS root FROM b""",
-)
+#: Members below a lowest node of the tree, about; each level above has sixteen times fewer nodes.
+LEAVES = 256
+
+
+def _tree_sql(levels: int = 6) -> str:
+    up = "".join(
+        f", u{k + 1} AS (SELECT left(b, greatest(length(b) - 1, 0)) AS b, CASE WHEN max(length(b)) = 0 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY b)) END AS d FROM u{k} GROUP BY left(b, greatest(length(b) - 1, 0)))" for k in range(levels)
+    )
+    return f"""WITH l AS (SELECT md5(o_orderkey::VARCHAR) AS h FROM orders), n AS (SELECT greatest(ceil(log(count(*) / {LEAVES}) / log(16) - 1e-9), 1)::INT AS depth FROM l),
+    u0 AS (SELECT left(h, depth) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM l, n GROUP BY 1){up} SELECT d AS root FROM u{levels}"""
+
+
+@query("cohort_root", _tree_sql())
 def cohort_root(spark: SparkSession, sf: str) -> DataFrame:
-    """The root of a two-level hash tree over all members; only 256 digests meet in the end."""
-    leaf = F.md5(F.col("o_orderkey").cast("string"))
-    b = table(spark, sf, "orders").select(F.left(leaf, F.lit(2)).alias("b"), leaf.alias("h")).groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return b.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("root"))
+    """The root of a hash tree over all members, whose depth follows their number: no node gathers more than some LEAVES of them or sixteen nodes."""
+    leaves = table(spark, sf, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("h"))
+    n, depth = leaves.count(), 1
+    while n > LEAVES * 16**depth:
+        depth += 1
+    node = leaves.groupBy(F.left("h", F.lit(depth)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    for length in range(depth - 1, -1, -1):
+        below = F.array_sort(F.collect_list(F.struct("b", "d")))
+        node = node.groupBy(F.left("b", F.lit(length)).alias("up")).agg(F.sha2(F.array_join(F.transform(below, lambda x: x["d"]), ""), 256).alias("d")).withColumnRenamed("up", "b")
+    return node.select(F.col("d").alias("root"))
 
 
 @query(

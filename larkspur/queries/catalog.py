@@ -98,8 +98,8 @@ def size_packing(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.pack(turns, "conv_id", "turn", "size", 1200)
 
 
-#: Blocks that rows are dealt into for exact search; more of them for more rows.
-BLOCKS = 32
+#: Rows and queries of a block of exact search; there are as many blocks as that takes.
+ROWS_OF_BLOCK, QUERIES_OF_BLOCK = 200_000, 4096
 
 
 @query(
@@ -112,9 +112,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     v = table(spark, sf, "embeddings")
-    # Rows are dealt into blocks that each meet all queries, by an equal key: nothing is broadcast, whatever its size.
-    unit = v.select("vec_id", "label", scores.unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).alias("block"))
-    asked = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias("block"))
-    met = unit.where("label <> 3").hint("shuffle_hash").join(asked, "block").where("vec_id <> query_id")
+    # Rows and queries are dealt into blocks, and every pair of blocks is a key of its own: the hash table of a key holds one block of queries.
+    unit = v.select("vec_id", "label", scores.unit(F.col("embedding")).alias("u"))
+    rows, queries = unit.where("label <> 3"), unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
+    blocks, query_blocks = -(-v.count() // ROWS_OF_BLOCK) or 1, -(-queries.count() // QUERIES_OF_BLOCK) or 1
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("query_block", dealt("query_id", query_blocks)).withColumn("block", every(blocks))
+    met = rows.withColumn("block", dealt("vec_id", blocks)).withColumn("query_block", every(query_blocks)).join(asked.hint("shuffle_hash"), ["block", "query_block"]).where("vec_id <> query_id")
     scored = met.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scores.dot(F.col("q"), F.col("u")))), 6).alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 5")
