@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
-from larkspur.queries.streams import scratch
 from larkspur.session import table
+from larkspur.storage import scratch
 from larkspur.sources.lists import ListDocuments
 from larkspur.streaming import flows
 

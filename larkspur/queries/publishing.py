@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
-from larkspur.queries.streams import scratch
 from larkspur.session import table
 from larkspur.sinks import publication
+from larkspur.storage import scratch
 
 
 @query(

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
 from larkspur.plans import reconcile
 from larkspur.session import table
+from larkspur.storage import scratch
 from larkspur.streaming import flows, keyed
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set and the master is this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = folder or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-larkspur-"))
-    return f"{folder}/larkspur/{name}-{uuid.uuid4().hex}"
-
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream. The pattern matches a file as well as a folder, of which a plain path must be one."""
