@@ -34,6 +34,9 @@ CACHE = 100_000
 def grams(word: str) -> list[int]:
     """Buckets of a word's n-grams, its ends marked; the whole word, if it has none."""
     w = f"<{word}>"
+    if w.isascii():  # a byte a character
+        b = w.encode()
+        return [zlib.crc32(b[i : i + n]) % BUCKETS for n in NGRAMS for i in range(len(b) - n + 1)] or [zlib.crc32(b) % BUCKETS]
     return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in NGRAMS for i in range(len(w) - n + 1)] or [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
 
 
@@ -46,6 +49,10 @@ class SubwordBag:
     bias: float
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        # With the mean and the softmax linear, a bucket's part in the log odds is one number too.
+        self.parts = (self.vectors @ self.odds).astype(float).tolist()
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
@@ -53,7 +60,8 @@ class SubwordBag:
         if (x := self.known.get(word)) is None:
             if len(self.known) > CACHE:
                 self.known.clear()
-            x = self.known[word] = float(self.vectors[grams(word)].mean(0) @ self.odds)
+            buckets = grams(word)
+            x = self.known[word] = sum(map(self.parts.__getitem__, buckets)) / len(buckets)
         return x
 
     def score(self, text: str) -> float:
