@@ -1,6 +1,6 @@
 """What titles and descriptions say: titles to show and to search, disciplines, degrees, programmes, housing, graduation, closure.
 
-All are built-in expressions. Null texts count as empty. Letters are folded for Latin-1 only (`fold_marks`).
+All are built-in expressions. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import fold_marks
+from larkspur.functions.text import compatible, fold_marks
 
 # Disciplines and their patterns.
 DISCIPLINES = {
@@ -92,7 +92,7 @@ def _clauses(text: Column) -> Column:
 
 def display_title(title: Column) -> Column:
     """A title without the pictographs that it begins with, blanks squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(title, r"^[\x{1F000}-\x{1FAFF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\s]+", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(compatible(title), r"^[\x{1F000}-\x{1FAFF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\s]+", ""), r"\s+", " "))
 
 
 def search_title(title: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,42 @@ FIXED_SUFFIXES = "co|company|corp|corporation|inc|incorporated|limited|llc|ltd|p
 SUFFIXES = f"{FIXED_SUFFIXES}|gmbh"
 
 
+def _table(form: str, drop_marks: bool) -> tuple[str, str, dict[str, str]]:
+    """What Unicode's compatibility form makes of single characters: those that become one, beside what they become, and those that become several with an ASCII letter or digit among them."""
+    ones, becomes, several = [], [], {}
+    for k in (*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)):
+        c = chr(k)
+        d = unicodedata.normalize(form, c)
+        if drop_marks:
+            d = "".join(x for x in d if not "\u0300" <= x <= "\u036f")
+        if d != c and len(d) == 1 and (not drop_marks or d.isascii()):
+            ones.append(c)
+            becomes.append(d)
+        elif len(d) > 1 and any(x.isascii() and x.isalnum() for x in d):
+            several[c] = d
+    gone = [chr(k) for k in range(0x300, 0x370)] if drop_marks else []
+    return "".join(ones + gone), "".join(becomes), several
+
+
+_TABLES = {"NFKD": _table("NFKD", True), "NFKC": _table("NFKC", False)}
+
+
+def _formed(text: Column, form: str) -> Column:
+    ones, becomes, several = _TABLES[form]
+    x = F.translate(text, ones, becomes)
+    pairs = F.create_map(*[F.lit(y) for pair in several.items() for y in pair])
+    long = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
+    return F.when(x.rlike(f"[{''.join(several)}]"), long).otherwise(x)
+
+
 def fold_marks(text: Column) -> Column:
-    """Latin letters without their marks, for the letters of Latin-1; others are left."""
-    return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    """Letters and digits in Unicode's compatible, decomposed form without combining marks, as far as that is ASCII: marked, full-width and styled letters, ligatures. Others are left."""
+    return _formed(text, "NFKD")
+
+
+def compatible(text: Column) -> Column:
+    """Characters in Unicode's compatible, composed form, each by itself: full-width and styled ones, ligatures; marks stay as they are written."""
+    return _formed(text, "NFKC")
 
 
 def terms(text: Column) -> Column:
