@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.catalogue import query
 from larkspur.session import table
 from larkspur.storage import scratch
-from larkspur.sources.lists import ListDocuments
+from larkspur.sources import lists
 from larkspur.streaming import flows
 
 
@@ -28,7 +28,7 @@ def _written(rows: DataFrame, path: str) -> None:
 )
 def list_source(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty nations' lists are read as a stream; then the others come, and the second run reads those only."""
-    spark.dataSource.register(ListDocuments)
+    lists.register(spark)
     folder, out, checkpoint = scratch(spark, "lists"), scratch(spark, "listings"), scratch(spark, "checkpoint")
     customers = table(spark, sf, "customer")
     for run, part in ((1, customers.where("c_nationkey < 20")), (2, customers.where("c_nationkey >= 20"))):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +50,9 @@ def ship_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(file))
     _shipped.add(app)
+
+
+def travels(*modules: str) -> None:
+    """From now on code of these modules is sent by value: the driver's own workers for data sources and keyed streams don't see what `ship_package` adds."""
+    for module in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[module])

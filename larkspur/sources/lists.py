@@ -1,7 +1,6 @@
 """A folder of list documents as a data source, in batch and as a stream.
 
-`spark.dataSource.register(ListDocuments)`, then `spark.read.format("list_documents").load(folder)` or
-`readStream`. Every document is a partition. A stream's offset says which state of each document was read, so a
+`register(spark)`, then `spark.read.format("list_documents").load(folder)` or `readStream`. Every document is a partition. A stream's offset says which state of each document was read, so a
 later run reads changed and new documents only; a batch read can be told the same by the option `known`.
 """
 
@@ -15,8 +14,11 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from larkspur.session import travels
+from larkspur.sources import documents
 from larkspur.sources.documents import markdown_rows
 
 SCHEMA = "document string, line int, company string, title string, location string, url string, closed boolean, etag string"
@@ -186,3 +188,9 @@ class ListDocuments(DataSource):
 
     def streamReader(self, schema) -> ListStream:
         return ListStream(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known. Its code travels with it, as the workers that plan a read don't see files added to a session."""
+    travels(__name__, documents.__name__)
+    spark.dataSource.register(ListDocuments)

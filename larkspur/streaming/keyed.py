@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from larkspur.session import travels
+
 # The states, and each event with the states it may come in and the state it leads to.
 STATES = ("pending", "queued", "processing", "settled", "quarantined", "absent")
 EVENTS = {
@@ -137,6 +139,7 @@ def admission(stream: DataFrame, key: str, late: str = "0 seconds", delays: tupl
     and beyond `delays` quarantines instead. Settled, reopened, returned and absent rows begin anew. Events are
     taken by time, then id; one that isn't behind its key's last is late and changes nothing.
     """
+    travels(__name__)
     seen = stream.select(F.col(key).cast("long").alias(key), "ts", "event_id", "event").withColumn("at", F.unix_millis("ts")).withWatermark("ts", late)
     return seen.groupBy(key).transformWithStateInPandas(Admission(key, tuple(delays), lease), f"{key} long, at long, event_id long, event string, was string, state string, reason string, attempts int", "append", "eventTime")
 
@@ -197,5 +200,6 @@ def first_event_windows(stream: DataFrame, key: str, window: int, late: str) ->
     """
     if window < 1:
         raise ValueError("a window lasts a millisecond at least")
+    travels(__name__)
     seen = stream.select(F.col(key).cast("long").alias(key), "ts", "event_id").withColumn("at", F.unix_millis("ts")).withWatermark("ts", late)
     return seen.groupBy(key).transformWithStateInPandas(Release(key, window), f"{key} long, opened_at long, flush_at long, members array<long>, release_id string", "append", "eventTime")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur import catalogue
-from larkspur.sources.lists import ListDocuments
+from larkspur.sources import lists
 from larkspur.streaming import flows
 
 TABLE = """# List
@@ -36,7 +36,7 @@ SECTIONS = """## Pine & Co
 
 @pytest.fixture
 def source(spark):
-    spark.dataSource.register(ListDocuments)
+    lists.register(spark)
     return lambda folder, **options: spark.read.format("list_documents").options(**options).load(f"file://{folder}")
 
 
