@@ -15,7 +15,7 @@ RULES = [("mobile", r"^m\.", r"^/([a-z]+)/([0-9]+)"), ("web", r"^www\.", r"^/([a
 @query(
     "url_canonical",
     r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
-    k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains(['ref', 'source', 'src', 'gclid', 'fbclid'], lower(split_part(x, '=', 1))) AND NOT starts_with(lower(x), 'utm_'))), '&') AS k FROM p)
+    k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains(['fbclid', 'gclid', 'gh_src', 'mc_cid', 'mc_eid', 'ref', 'source'], lower(split_part(x, '=', 1))) AND NOT starts_with(lower(x), 'utm_'))), '&') AS k FROM p)
     SELECT page_id, scheme || '://' || host || path || CASE WHEN k <> '' THEN '?' || k ELSE '' END AS canonical, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, scheme = 'https' AND (host = 'example.com' OR host LIKE '%.example.com') AND NOT host LIKE 'm.%' AS admissible FROM k""",
 )
 def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
