@@ -24,5 +24,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-for _module in ("relational", "reconciliation", "catalog", "scalars", "operations", "streams", "merging", "assessments", "stated", "extraction", "delivery", "selection", "publishing", "lists", "repairs", "postings", "facets"):
+for _module in ("relational", "reconciliation", "catalog", "scalars", "operations", "streams", "merging", "assessments", "stated", "extraction", "delivery", "selection", "publishing", "lists", "repairs", "postings", "facets", "evidence"):
     import_module(f"larkspur.queries.{_module}")

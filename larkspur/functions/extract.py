@@ -222,3 +222,31 @@ def destination_class(said: Column) -> Column:
         .when(proven, shown)
         .otherwise("unresolved")
     )
+
+
+def stated_season(text: Column) -> Column:
+    """struct<term, year> of the first season named with a year (`Summer 2027`, `Summer Internship 2027`) outside of graduation clauses."""
+    clauses = F.filter(_clauses(text), lambda c: ~c.rlike(_GRADUATION))
+    hit = F.regexp_substr(F.array_join(clauses, "\n"), F.lit(r"(?i)\b(?:spring|summer|fall|winter)\s*(?:intern(?:ship)?\s*)?20\d{2}\b"))
+    return F.when(hit.isNotNull(), F.struct(F.lower(F.regexp_extract(hit, r"(?i)^([a-z]{4}(?:er|ng)?)", 1)).alias("term"), F.right(hit, F.lit(4)).cast("int").alias("year")))
+
+
+_MONTH_NAME = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+
+
+def stated_date(text: Column) -> Column:
+    """The first full date of a text: 2027-05-01, else May 1st, 2027, else 1 May 2027, else 5/13/2027 where only one order is possible. Null if that one isn't in the calendar."""
+    number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, k)])
+    part = lambda p, g: F.regexp_extract(text, p, g)
+    iso, named, turned, slash = r"\b(20\d{2}-\d{2}-\d{2})(?!\d)", rf"(?i)\b({_MONTH_NAME})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH_NAME})\s+(20\d{{2}})\b", r"\b(\d{1,2})/(\d{1,2})/(20\d{2})\b"
+    month = lambda name: number[F.lower(F.left(name, F.lit(3)))]
+    written = lambda y, m, d: F.format_string("%s-%02d-%02d", y, m, d.try_cast("int"))
+    a, b = part(slash, 1).try_cast("int"), part(slash, 2).try_cast("int")
+    either = F.when((a <= 12) & (b > 12), written(part(slash, 3), a, b)).when((a > 12) & (b <= 12), written(part(slash, 3), b, a))
+    found = (
+        F.when(part(iso, 1) != "", part(iso, 1))
+        .when(part(named, 1) != "", written(part(named, 3), month(part(named, 1)), part(named, 2)))
+        .when(part(turned, 1) != "", written(part(turned, 3), month(part(turned, 2)), part(turned, 1)))
+        .otherwise(either)
+    )
+    return F.try_to_date(found, "yyyy-MM-dd")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import once
+
 _AMOUNT = r"\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?([kK]?)"
 RANGE = _AMOUNT + r"(?:\s?(?:-|–|to)\s?\$?\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?([kK]?))?\s?(?:/|per |an? )?\s?(hour|hr|year|yr|annually)?"
 HOURS = 2080
@@ -76,4 +78,4 @@ def pay_ranges(text: Column) -> Column:
     plausible = lambda x: F.when(x["currency"] != "USD", (x["low"] > 0) & (x["high"] <= 1_000_000_000)).when(x["period"] == "hourly", usd(x, 5, 500)).when(x["period"] == "annual", usd(x, 10_000, 1_000_000)).otherwise((x["low"] > 0) & (x["high"] <= 1_000_000))
     kept = F.array_sort(F.array_distinct(F.filter(found, lambda x: x["currency"].isNotNull() & plausible(x))))
     wider = lambda x, r: (r["low"] < r["high"]) & (r["period"] == x["period"]) & ((r["currency"] == x["currency"]) | (x["currency"] == "XXX")) & ((x["low"] == r["low"]) | (x["low"] == r["high"]))
-    return F.filter(kept, lambda x: (x["low"] < x["high"]) | ~F.exists(kept, lambda r: wider(x, r)))
+    return once(kept, lambda kept: F.filter(kept, lambda x: (x["low"] < x["high"]) | ~F.exists(kept, lambda r: wider(x, r))))

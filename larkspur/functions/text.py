@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,3 +119,8 @@ def mask_path(path: Column) -> Column:
     """Path segments with numbers and uuids masked."""
     uuid = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
     return F.array_join(F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(r"^[0-9]+$"), ":number").when(F.lower(s).rlike(uuid), ":uuid").otherwise(s)), "/")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is met inside, also in functions over arrays."""
+    return F.get(F.transform(F.array(value), use), 0)
