@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import compatible, fold_marks
+from larkspur.functions.text import compatible, fold_marks, once
 
 # Disciplines and their patterns.
 DISCIPLINES = {
@@ -133,8 +133,8 @@ def education_levels(text: Column) -> Column:
     told = F.flatten(F.transform(sentences, lambda s: F.transform(F.split(s, r"\s*[;|]\s*|\s*,\s*|\s+/\s+"), lambda g: F.struct(g.alias("said"), _says(s, _AUDIENCE).alias("audience")))))
     told = F.filter(told, lambda t: ~_says(t["said"], _DEMOTED) & ~_says(t["said"], _WAIVED))
     bare = lambda t: (t["audience"] & _says(t["said"], _BARE_MASTERS)) | _says(t["said"], r"\(\s*" + _BARE_MASTERS.replace(r"(?<![\w.'])", "", 1))
-    has = lambda name, p: F.exists(told, lambda t: t["said"].rlike(p) | bare(t) if name == "masters" else t["said"].rlike(p))
-    return F.array_sort(F.array_compact(F.array(*[F.when(has(name, p), name) for name, p in LEVELS.items()])))
+    has = lambda told, name, p: F.exists(told, lambda t: t["said"].rlike(p) | bare(t) if name == "masters" else t["said"].rlike(p))
+    return once(told, lambda told: F.array_sort(F.array_compact(F.array(*[F.when(has(told, name, p), name) for name, p in LEVELS.items()]))))
 
 
 def minimum_degree(text: Column) -> Column:
