@@ -133,7 +133,7 @@ def role_agreement(spark: SparkSession, sf: str) -> DataFrame:
 def quiet_hours_next(spark: SparkSession, sf: str) -> DataFrame:
     ts, zone = F.col("ts"), "America/New_York"
     quiet = time.is_quiet(time.minute_of_day(F.from_utc_timestamp(ts.cast("timestamp"), zone)), 1320, 420)
-    rounded = F.round(F.unix_micros(time.next_eligible(ts, zone, 1320, 420)) / 1_000_000).cast("long")
+    rounded = F.bround(F.unix_micros(time.next_eligible(ts, zone, 1320, 420)) / 1_000_000).cast("long")  # half a second goes to the even one
     return table(spark, sf, "events").select("event_id", quiet.alias("quiet"), rounded.alias("next_at"))
 
 

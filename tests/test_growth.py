@@ -23,3 +23,7 @@ EVENTS = "SELECT (i * 10 + j)::BIGINT AS event_id, make_timestamp(17040672000000
 
 def test_slots_go_by_the_nearest_millisecond(spark, tmp_path):
     assert equal(spark, "backoff", put(tmp_path, events=EVENTS)) == ""
+
+
+def test_half_seconds_go_to_the_even_one(spark, tmp_path):
+    assert equal(spark, "quiet_hours_next", put(tmp_path, events=EVENTS)) == ""
