@@ -27,3 +27,29 @@ def test_slots_go_by_the_nearest_millisecond(spark, tmp_path):
 
 def test_half_seconds_go_to_the_even_one(spark, tmp_path):
     assert equal(spark, "quiet_hours_next", put(tmp_path, events=EVENTS)) == ""
+
+
+def test_similar_titles_open_up_to_all_their_copies(spark, tmp_path):
+    """Copies of one name, names in either order and one that shares a single word of three."""
+    part = "SELECT i::BIGINT AS p_partkey, 'Brand#1' AS p_brand, 5 AS p_size, ['large ring', 'ring large', 'small ring', 'old hot plate', 'ring'][i % 5 + 1] AS p_name FROM range(40) t(i)"
+    sf = put(tmp_path, part=part)
+    assert equal(spark, "title_similarity", sf) == ""
+    plan = catalogue.QUERIES["title_similarity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan  # copies count as one while pairs are compared
+
+
+def test_evidence_meets_on_all_that_reaches_the_bar(spark, tmp_path):
+    part = "SELECT i::BIGINT AS p_partkey, 'Brand#1' AS p_brand, ['X', 'Y', NULL][i % 3 + 1] AS p_type, ['large ring', 'large bolt', 'Large', '', NULL][i % 5 + 1] AS p_name FROM range(45) t(i)"
+    sf = put(tmp_path, part=part)
+    assert equal(spark, "evidence_match", sf) == ""
+    joins = [line for line in catalogue.QUERIES["evidence_match"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and all("p_type" in line for line in joins)
+
+
+def test_alike_devices_share_their_messages(spark, tmp_path):
+    orders = "SELECT i::BIGINT AS o_orderkey, (i % 4)::BIGINT AS o_custkey, TIMESTAMP '1998-01-01' + INTERVAL (i * 20) DAY AS o_orderdate, (i % 5 + 1) || '-X' AS o_orderpriority FROM range(120) t(i)"
+    sf = put(tmp_path, orders=orders, customer="SELECT i::BIGINT AS c_custkey, (i % 2)::INT AS c_nationkey FROM range(4) t(i)", supplier="SELECT i::BIGINT AS s_suppkey, (i % 3)::INT AS s_nationkey FROM range(100) t(i)")
+    assert equal(spark, "fan_out", sf) == ""
+    df = catalogue.QUERIES["fan_out"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.split("\n")[1].find("Join") >= 0  # the last step sends to each device; nothing is shuffled behind it
