@@ -147,7 +147,7 @@ def minimum_degree(text: Column) -> Column:
         lowest = lowest.when(_says(choices, rf"\b{p}"), name)
     for name, p in DEGREES:
         demanded = demanded.when(_says(whole, rf"\b{p}(?: degree)?\s+(?:is\s+)?required\b|\bmust\s+(?:have|hold|possess)\s+(?:an?\s+)?{p}(?: degree)?\b|\bminimum(?: education| degree)?[^.;]{{0,30}}\b{p}\b"), name)
-    return F.when(either.isNotNull(), lowest).otherwise(demanded.when(_says(whole, _HIGH_SCHOOL), "high-school"))
+    return F.when(_says(text, "required|must|minimum"), F.when(either.isNotNull(), lowest).otherwise(demanded.when(_says(whole, _HIGH_SCHOOL), "high-school")))
 
 
 def housing_kinds(text: Column) -> Column:
@@ -180,7 +180,8 @@ def graduation_window(text: Column) -> Column:
     turns = F.transform(F.regexp_extract_all(context, F.lit(_SEASON_YEAR), F.lit(0)), lambda d: F.concat(F.right(d, F.lit(4)), F.lit("-"), season[F.lower(F.regexp_extract(d, r"^(\w+)", 1))]))
     dates, years = F.concat(named, turns), F.regexp_extract_all(context, F.lit(r"\b20\d{2}\b"), F.lit(0))
     window = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    return F.when(F.size(dates) > 0, window(F.array_min(dates), F.array_max(dates))).when(F.size(years) > 0, window(F.concat(F.array_min(years), F.lit("-01")), F.concat(F.array_max(years), F.lit("-12"))))
+    told = F.when(F.size(dates) > 0, window(F.array_min(dates), F.array_max(dates))).when(F.size(years) > 0, window(F.concat(F.array_min(years), F.lit("-01")), F.concat(F.array_max(years), F.lit("-12"))))
+    return F.when(_says(text, "graduat|class of|degree completion"), told)
 
 
 def closed(text: Column) -> Column:
@@ -234,19 +235,23 @@ def stated_season(text: Column) -> Column:
 _MONTH_NAME = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 
 
-def stated_date(text: Column) -> Column:
+def stated_date(said: Column) -> Column:
     """The first full date of a text: 2027-05-01, else May 1st, 2027, else 1 May 2027, else 5/13/2027 where only one order is possible. Null if that one isn't in the calendar."""
-    number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, k)])
-    part = lambda p, g: F.regexp_extract(text, p, g)
-    iso, named, turned, slash = r"\b(20\d{2}-\d{2}-\d{2})(?!\d)", rf"(?i)\b({_MONTH_NAME})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH_NAME})\s+(20\d{{2}})\b", r"\b(\d{1,2})/(\d{1,2})/(20\d{2})\b"
-    month = lambda name: number[F.lower(F.left(name, F.lit(3)))]
-    written = lambda y, m, d: F.format_string("%s-%02d-%02d", y, m, d.try_cast("int"))
-    a, b = part(slash, 1).try_cast("int"), part(slash, 2).try_cast("int")
-    either = F.when((a <= 12) & (b > 12), written(part(slash, 3), a, b)).when((a > 12) & (b <= 12), written(part(slash, 3), b, a))
-    found = (
-        F.when(part(iso, 1) != "", part(iso, 1))
-        .when(part(named, 1) != "", written(part(named, 3), month(part(named, 1)), part(named, 2)))
-        .when(part(turned, 1) != "", written(part(turned, 3), month(part(turned, 2)), part(turned, 1)))
-        .otherwise(either)
-    )
-    return F.try_to_date(found, "yyyy-MM-dd")
+
+    def date(text: Column) -> Column:
+        number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, k)])
+        part = lambda p, g: F.regexp_extract(text, p, g)
+        iso, named, turned, slash = r"\b(20\d{2}-\d{2}-\d{2})(?!\d)", rf"(?i)\b({_MONTH_NAME})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH_NAME})\s+(20\d{{2}})\b", r"\b(\d{1,2})/(\d{1,2})/(20\d{2})\b"
+        month = lambda name: number[F.lower(F.left(name, F.lit(3)))]
+        written = lambda y, m, d: F.format_string("%s-%02d-%02d", y, m, d.try_cast("int"))
+        a, b = part(slash, 1).try_cast("int"), part(slash, 2).try_cast("int")
+        either = F.when((a <= 12) & (b > 12), written(part(slash, 3), a, b)).when((a > 12) & (b <= 12), written(part(slash, 3), b, a))
+        found = (
+            F.when(part(iso, 1) != "", part(iso, 1))
+            .when(part(named, 1) != "", written(part(named, 3), month(part(named, 1)), part(named, 2)))
+            .when(part(turned, 1) != "", written(part(turned, 3), month(part(turned, 2)), part(turned, 1)))
+            .otherwise(either)
+        )
+        return F.when(text.rlike(r"20\d{2}"), F.try_to_date(found, "yyyy-MM-dd"))
+
+    return once(said, date)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,27 +42,41 @@ PERIODS = {"hourly": "hourly|hour|hr", "annual": "yearly|year|yr|annum|annually|
 #: What isn't base pay.
 NO_PAY = r"(?i)\b(?:sign[ -]?on|signing bonus|revenue|salary expectations?|desired salary|stipend|lunch allowance)\b"
 _PLAIN = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
-STATED = rf"(?i)(?:\b({CODES})\s?)?([$€£])?\s?({_PLAIN})\s?(k)?(?:\s?(?:-|–|—|to)\s?(?:({CODES})\s?)?[$€£]?\s?({_PLAIN})\s?(k)?)?\s?(?:({CODES})\s?)?(?:/\s?|per\s|an?\s)?\s?\b({'|'.join(PERIODS.values())})\b"
+STATED = rf"(?i)(?:\b(?=[A-Z]{{3}}\s?[$€£]?\s?[0-9])({CODES})\s?)?([$€£])?\s?({_PLAIN})\s?(k)?(?:\s?(?:-|–|—|to)\s?(?:({CODES})\s?)?[$€£]?\s?({_PLAIN})\s?(k)?)?\s?(?:({CODES})\s?)?(?:/\s?|per\s|an?\s)?\s?\b({'|'.join(PERIODS.values())})\b"
 #: Pay whose period stands in a label before the amounts: label, code, sign, amount, thousands, second amount, thousands, code.
 LABELLED = rf"(?i)\b(hourly|annual(?:ized)?|yearly|daily|weekly|monthly)\s+(?:(?:base|estimated|starting)\s+)?(?:pay|salary|wage|rate|compensation)(?:\s+range)?[^.;$€£\d]{{0,100}}?(?:({CODES})\s*)?([$€£])\s*({_PLAIN})\s*(k)?(?:\s*(?:-|–|—|to)\s*[$€£]?\s*({_PLAIN})\s*(k)?)?(?:\s*\(?({CODES})\b\)?)?(?!\s?(?:/|per\b))"
 
 
+def _groups(hit: Column, pattern: str, n: int, use: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """`use` of the groups of a pattern's first match, all of them from one search."""
+    parts = F.split(F.regexp_replace(hit, f"(?s)^.*?(?:{pattern}).*$", "\x01".join(f"${g}" for g in range(1, n + 1))), "\x01")
+    return once(parts, lambda parts: use(lambda g: F.get(parts, g - 1)))
+
+
+def _told(low: Column, high: Column, currency: Column, period: Column) -> Column:
+    return F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"), currency.alias("currency"), period.alias("period"))
+
+
 def _stated(hit: Column) -> Column:
-    at = lambda g: F.regexp_extract(hit, STATED, g)
-    a, b = _number(at(3), at(4)), F.when(at(6) != "", _number(at(6), at(7))).otherwise(_number(at(3), at(4)))
-    code = F.upper(F.coalesce(*[F.nullif(at(g), F.lit("")) for g in (1, 5, 8)]))
-    symbol = F.when(at(2) == "€", "EUR").when(at(2) == "£", "GBP").when(at(2) == "$", "XXX")
-    period = F.coalesce(*[F.when(F.lower(at(9)).rlike(f"^(?:{words})$"), name) for name, words in PERIODS.items()])
-    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.coalesce(code, symbol).alias("currency"), period.alias("period"))
+    def told(at: Callable[[int], Column]) -> Column:
+        a, b = _number(at(3), at(4)), F.when(at(6) != "", _number(at(6), at(7))).otherwise(_number(at(3), at(4)))
+        code = F.upper(F.coalesce(*[F.nullif(at(g), F.lit("")) for g in (1, 5, 8)]))
+        symbol = F.when(at(2) == "€", "EUR").when(at(2) == "£", "GBP").when(at(2) == "$", "XXX")
+        period = F.coalesce(*[F.when(F.lower(at(9)).isin(words.split("|")), name) for name, words in PERIODS.items()])
+        return _told(a, b, F.coalesce(code, symbol), period)
+
+    return _groups(hit, STATED, 9, told)
 
 
 def _labelled(hit: Column) -> Column:
-    at = lambda g: F.regexp_extract(hit, LABELLED, g)
-    a, b = _number(at(4), at(5)), F.when(at(6) != "", _number(at(6), at(7))).otherwise(_number(at(4), at(5)))
-    code = F.upper(F.coalesce(*[F.nullif(at(g), F.lit("")) for g in (2, 8)]))
-    symbol = F.when(at(3) == "€", "EUR").when(at(3) == "£", "GBP").otherwise("XXX")
-    period = F.when(F.lower(at(1)).rlike("^(?:annual|yearly)"), "annual").otherwise(F.lower(at(1)))
-    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.coalesce(code, symbol).alias("currency"), period.alias("period"))
+    def told(at: Callable[[int], Column]) -> Column:
+        a, b = _number(at(4), at(5)), F.when(at(6) != "", _number(at(6), at(7))).otherwise(_number(at(4), at(5)))
+        code = F.upper(F.coalesce(*[F.nullif(at(g), F.lit("")) for g in (2, 8)]))
+        symbol = F.when(at(3) == "€", "EUR").when(at(3) == "£", "GBP").otherwise("XXX")
+        period = F.when(F.lower(at(1)).rlike("^(?:annual|yearly)"), "annual").otherwise(F.lower(at(1)))
+        return _told(a, b, F.coalesce(code, symbol), period)
+
+    return _groups(hit, LABELLED, 8, told)
 
 
 def pay_ranges(text: Column) -> Column:
@@ -72,7 +88,7 @@ def pay_ranges(text: Column) -> Column:
     """
     segments = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\bUS\$", "USD \\$"), r"(?<=[.;])\s+|\s*[;\n]\s*")
     codes = lambda s: F.size(F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)\b({CODES})\b"), F.lit(1)), F.upper)))
-    told = F.filter(segments, lambda s: ~s.rlike(NO_PAY) & (codes(s) <= 1))
+    told = F.filter(segments, lambda s: s.rlike("[0-9]") & ~s.rlike(NO_PAY) & (codes(s) <= 1))
     found = F.flatten(F.transform(told, lambda s: F.concat(F.transform(F.regexp_extract_all(s, F.lit(STATED), F.lit(0)), _stated), F.transform(F.regexp_extract_all(s, F.lit(LABELLED), F.lit(0)), _labelled))))
     usd = lambda x, low, high: (x["low"] >= low) & (x["high"] <= high)
     plausible = lambda x: F.when(x["currency"] != "USD", (x["low"] > 0) & (x["high"] <= 1_000_000_000)).when(x["period"] == "hourly", usd(x, 5, 500)).when(x["period"] == "annual", usd(x, 10_000, 1_000_000)).otherwise((x["low"] > 0) & (x["high"] <= 1_000_000))

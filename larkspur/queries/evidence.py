@@ -22,11 +22,11 @@ from larkspur.session import table
       CASE WHEN k = 4 THEN d || ' ' || d END AS posted_updated, CASE k WHEN 0 THEN 'summer ' || y WHEN 3 THEN 'doctoral fall ' || y || ' remote' END AS from_title, sha256('{"title":"' || title || '","description":"' || replace(said, chr(10), '\n') || '","completeness":"complete"}') AS hash FROM t""",
 )
 def role_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections, evidence and content hash of a posting for each order; two of six kinds state nothing."""
+    """Sections, evidence and content hash of a posting for each order; two of six kinds state nothing. A few files of orders hold many postings, so the rows are dealt out before they are read."""
     e = F.expr
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("n"), e("o_orderkey % 6").alias("k"), e("year(o_orderdate) + 20").alias("y"), e("o_custkey % 40 + 20").alias("a"), e("o_custkey % 7").alias("c"), F.add_months("o_orderdate", 240).alias("d")
-    )
+    ).repartition("n")
     titles = {0: "'Summer Intern ' || y", 3: "'PhD Intern (Remote), Fall ' || y"}
     texts = {
         0: r"'We build things.\r\nCompensation:\r\nUSD ' || a || ' - ' || (a + 5) || ' per hour.\nLocation: City ' || c || '\nRequirements:\nYou must have a Bachelor\'s degree. Graduating between June ' || (y + 1) || ' and June ' || (y + 2) || '.\n# How to apply\nApplications are reviewed on a rolling basis.'",
