@@ -79,13 +79,12 @@ def inbox_range(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a, b, score, score >= 7 AS automatic FROM s WHERE score >= 7""",
 )
 def evidence_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of a brand matched by weighted evidence; the first word is the block, so only pairs that can reach the bar meet."""
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.lower("p_name").alias("name"))
-    p = p.select("p_partkey", "p_brand", "p_type", F.split_part("name", F.lit(" "), F.lit(1)).alias("first"), F.split("name", " ").alias("w"))
-    side = lambda s: p.select("p_brand", "first", *[F.col(c).alias(f"{c}_{s}") for c in ("p_partkey", "p_type", "w")])
-    met = side("a").join(side("b"), ["p_brand", "first"]).where("p_partkey_a < p_partkey_b")
-    score = scores.weighted((F.col("p_type_a") == F.col("p_type_b"), 4), (F.lit(True), 3), (F.arrays_overlap("w_a", "w_b"), 2))
-    return met.select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"), score.alias("score")).where("score >= 7").withColumn("automatic", F.col("score") >= 7)
+    """Parts of a brand matched by weighted evidence. Only an equal type and an equal first word together reach the bar, so both are the block; that first word is one that both names have."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)).alias("first"))
+    side = lambda s: p.select("p_brand", "p_type", "first", F.col("p_partkey").alias(s))
+    met = side("a").join(side("b"), ["p_brand", "p_type", "first"]).where("a < b")
+    score = scores.weighted((F.lit(True), 4), (F.lit(True), 3), (F.lit(True), 2))
+    return met.select("a", "b", score.alias("score"), (score >= 7).alias("automatic"))
 
 
 @query(
