@@ -161,7 +161,7 @@ def public_links(spark: SparkSession, sf: str) -> DataFrame:
     WHEN 5 THEN low || '-' || high || ' USD hourly' WHEN 7 THEN low || '-' || high || ' USD other' WHEN 8 THEN low || '-' || low || ' GBP weekly' ELSE '' END AS told FROM p""",
 )
 def pay_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") + F.col("l_linenumber")).alias("k"), (10 + F.col("l_quantity").cast("int")).alias("low"), (15 + F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("high"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") + F.col("l_linenumber")).alias("k"), (10 + F.col("l_quantity").cast("int")).alias("low"), (15 + F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("high")).repartition("l_orderkey", "l_linenumber")
     said = _kind(
         "k", "Pay: ${low} - ${high} per hour.", "USD {low},000 to {high},000 per year", "The range is ${low}k - ${high}k/yr", "€{low}0 - €{high}0 monthly in Berlin", "US${low} - US${high} per hour", "Hourly pay range: ${low} - ${high} (USD)",
         "A signing bonus of USD {low},000 per year", "USD {low} - {high} bimonthly", "Weekly salary in London: £{low}",
