@@ -20,34 +20,59 @@ def rank(status: Column, ranks: dict[str, int], other: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every id in the edges (a, b).
 
-    Each round takes the least label among the neighbours and then that label's own label, so rounds grow with the
-    logarithm of a chain; every round is a written table. Edges to a hub add up before the shuffle.
+    Each round sends every id to its least neighbour, follows those pointers down to an id that has no lesser
+    neighbour, and puts that one in the edges' place. What is left links such ids only, at most half as many every
+    other round, so the work of all rounds together is a few times that of the first. Every step is a written table.
     """
-    both = written(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a")).where("id <> to").distinct(), "edges")
-    labels = written(both.groupBy("id").agg(F.least("id", F.min("to")).alias("component")), "labels")
+    ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    links, rounds = written(edges.where("a <> b").select(*ordered("a", "b")).distinct(), "links"), []
+    while not links.isEmpty():
+        ends = _ends(written(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")), "pointers"))
+        rounds.append(ends)
+        of_a, of_b = (ends.select(F.col("id").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
+        met = links.join(of_a, "a").join(of_b, "b", "left").select("to_a", F.coalesce("to_b", "b").alias("to_b")).where("to_a <> to_b")
+        links = written(met.select(*ordered("to_a", "to_b")).distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+    found = rounds.pop().withColumnRenamed("to", "component")
+    for ends in reversed(rounds):
+        later = found.select(F.col("id").alias("to"), "component")
+        found = written(ends.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component")).union(found), "labels")
+    return found.union(found.select(F.col("component").alias("id"), "component").distinct())
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """id and `to`, where the chain of its pointers ends; they lead to lesser ids, so it does. Each round doubles the way; ids that are through aren't looked up again."""
+    through, moving, all_of = [], pointers, pointers
     while True:
-        theirs = both.join(labels.select(F.col("id").alias("to"), F.col("component").alias("theirs")), "to").groupBy("id").agg(F.min("theirs").alias("theirs"))
-        met = labels.join(theirs, "id").select("id", "component", F.least("component", "theirs").alias("met"))
-        further = labels.select(F.col("id").alias("met"), F.col("component").alias("further"))
-        step = written(met.join(further, "met").select("id", "component", F.least("met", "further").alias("new")), "labels")
-        labels = step.select("id", F.col("new").alias("component"))
-        if step.where("new <> component").isEmpty():
-            return labels
+        further = all_of.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        step = written(moving.join(further, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "pointers")
+        through, moving = [*through, step.where("not moved").select("id", "to")], step.where("moved").select("id", "to")
+        all_of = moving
+        for done in through:
+            all_of = all_of.union(done)
+        if moving.isEmpty():
+            return all_of
 
 
-def members(jobs: DataFrame, claims: DataFrame, job: str, claim: str, first: list[Column]) -> DataFrame:
+def members(jobs: DataFrame, claims: DataFrame, job: str, claim: str, first: list[Column], known: bool = False) -> DataFrame:
     """job and canonical of every job: those that share a claim, also through others, have one canonical job, the least by `first`, then by id.
 
     A claim links its jobs to its least one, so no pairs are made of a claim that many share. Null claims link
-    nothing; claims of jobs that aren't there don't count. Every job's canonical one is there and its own: one hop.
+    nothing; claims of jobs that aren't there don't count (`known` says that there are none). Every job's canonical
+    one is there and its own: one hop.
     """
-    known = claims.where(F.col(claim).isNotNull()).join(jobs.select(job).distinct(), job, "left_semi").select(job, claim).distinct()
-    hubs = known.groupBy(claim).agg(F.min(job).alias("b"))
-    edges = known.join(hubs, claim).where(F.col(job) != F.col("b"))
+    held = claims.where(F.col(claim).isNotNull()).select(job, claim)
+    held = held if known else held.join(jobs.select(job), job, "left_semi")
+    hubs = held.groupBy(claim).agg(F.min(job).alias("b"), F.max(job).alias("last")).where("b <> last").drop("last")
+    edges = held.join(hubs, claim).where(F.col(job) != F.col("b"))
     found = components(edges.select(F.col(job).alias("a"), "b"))
-    placed = jobs.join(found.select(F.col("id").alias(job), "component"), job, "left").withColumn("component", F.coalesce("component", F.col(job)))
-    stays = placed.groupBy("component").agg(F.min_by(job, F.struct(*first, F.col(job))).alias("canonical"))
-    return placed.join(stays, "component").select(job, "canonical")
+    order = F.struct(*first, F.col(job)).alias("order")
+    placed = written(jobs.select(job, order).join(found.select(F.col("id").alias(job), "component"), job, "left"), "placed")
+    shared = placed.where(F.col("component").isNotNull())
+    stays = shared.groupBy("component").agg(F.min_by(job, "order").alias("canonical"))
+    alone = placed.where(F.col("component").isNull()).select(job, F.col(job).alias("canonical"))
+    return shared.join(stays, "component").select(job, "canonical").union(alone)
 
 
 def merge_jobs(jobs: DataFrame, placed: DataFrame, job: str) -> DataFrame:
