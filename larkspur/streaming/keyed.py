@@ -155,11 +155,11 @@ class Release(StatefulProcessor):
         self.held = handle.getListState("held", "at long, event_id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for at, event_id in zip(pdf["at"], pdf["event_id"], strict=True):
-                self.held.appendValue((int(at), int(event_id)))
-            if len(pdf):
-                self.handle.registerTimer(int(pdf["at"].min()) + self.window)
+        # One call to the store for all of a key's events, and one timer: the first is due before the others.
+        events = [e for pdf in rows for e in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), strict=True)]
+        if events:
+            self.held.appendList(events)
+            self.handle.registerTimer(min(events)[0] + self.window)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
