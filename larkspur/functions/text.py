@@ -39,7 +39,7 @@ def _formed(text: Column, form: str) -> Column:
     x = F.translate(text, ones, becomes)
     pairs = F.create_map(*[F.lit(y) for pair in several.items() for y in pair])
     long = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
-    return F.when(x.rlike(f"[{''.join(several)}]"), long).otherwise(x)
+    return F.when(F.octet_length(text) == F.char_length(text), text).when(x.rlike(f"[{''.join(several)}]"), long).otherwise(x)  # ASCII stays as it is
 
 
 def fold_marks(text: Column) -> Column:
@@ -57,6 +57,11 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(fold_marks(text)), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def tokens(text: Column) -> Column:
+    """Distinct pieces between ASCII characters that no term has; their terms are the text's."""
+    return F.array_distinct(F.split(text, r"[\x00-/:-@\[-`{-\x7f]+"))
+
+
 def company_key(name: Column) -> Column:
     """Terms without trailing corporate suffixes; at least one term stays."""
     plain = F.array_join(terms(name), " ")

@@ -79,8 +79,8 @@ def money_parse(spark: SparkSession, sf: str) -> DataFrame:
 )
 def company_keys(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.when(F.col("c_custkey") % 3 == 0, " Inc. Ltd").when(F.col("c_custkey") % 3 == 1, ", GmbH").otherwise(" Co Works")
-    key = text.company_key(F.concat("c_name", suffix))
-    return table(spark, sf, "customer").select("c_custkey", key.alias("company_key"), text.fingerprint(key, F.lit("x")).alias("fingerprint"))
+    keys = table(spark, sf, "customer").select("c_custkey", text.company_key(F.concat("c_name", suffix)).alias("company_key"))
+    return keys.withColumn("fingerprint", text.fingerprint(F.col("company_key"), F.lit("x")))
 
 
 @query(
@@ -104,11 +104,13 @@ def bounded_text(spark: SparkSession, sf: str) -> DataFrame:
     """WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS similarity FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.5""",
 )
 def title_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Similar names within a block of brand and size."""
+    """Similar names within a block of brand and size. Equal sets of terms count as one while they are compared; the pairs that pass are then opened up to their parts."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", text.title_terms(F.col("p_name")).alias("w"))
-    a, b = p.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("w").alias("wa")), p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("w").alias("wb"))
-    met = a.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("similarity", F.round(scores.overlap(F.col("wa"), F.col("wb")), 6))
-    return met.where("similarity >= 0.5").select("a", "b", "similarity")
+    kinds = p.groupBy("p_brand", "p_size", "w").agg(F.sort_array(F.collect_list("p_partkey")).alias("keys"))
+    a, b = (kinds.select("p_brand", "p_size", F.col("w").alias(f"w{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
+    met = a.join(b, ["p_brand", "p_size"]).where("wa <= wb").withColumn("similarity", F.round(scores.overlap(F.col("wa"), F.col("wb")), 6)).where("similarity >= 0.5")
+    opened = met.select("wa", "wb", "keys_b", "similarity", F.explode("keys_a").alias("x")).select("wa", "wb", "similarity", "x", F.explode("keys_b").alias("y"))
+    return opened.where("wa < wb OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 @query(
@@ -117,9 +119,10 @@ def title_similarity(spark: SparkSession, sf: str) -> DataFrame:
     SELECT item_id, round(ratio, 6) AS ratio, CASE WHEN ratio >= 0.75 THEN 'strong' WHEN ratio >= 0.4 THEN 'partial' ELSE 'weak' END AS agreement FROM r""",
 )
 def role_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """How much of each item's vocabulary English documents use."""
+    """How much of each item's vocabulary English documents use. Documents are cut into tokens, and each distinct token is folded once."""
     item = table(spark, sf, "benchmark").select("item_id", text.title_terms(F.col("text")).alias("w"))
-    used = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(text.terms(F.col("text")))).alias("word")).distinct()
+    tokens = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+    used = tokens.select(F.explode(text.terms(F.col("token"))).alias("word")).distinct()
     found = item.select("item_id", F.size("w").alias("n"), F.explode("w").alias("t")).join(used, F.col("t") == F.col("word"), "left")
     ratio = found.groupBy("item_id").agg((F.count("word") / F.max("n")).alias("ratio"))
     return ratio.select("item_id", F.round("ratio", 6).alias("ratio"), scores.agreement(F.col("ratio"), F.lit(False)).alias("agreement"))
