@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.catalogue import query
 from larkspur.functions import scores
 from larkspur.operators import relational
-from larkspur.plans import grouping
+from larkspur.plans import grouping, nearest
 from larkspur.session import table
 
 PAY = [(0.0, 0.0), (50_000.0, 30.0), (150_000.0, 70.0), (300_000.0, 100.0)]
@@ -98,10 +98,6 @@ def size_packing(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.pack(turns, "conv_id", "turn", "size", 1200)
 
 
-#: Rows and queries of a block of exact search; there are as many blocks as that takes.
-ROWS_OF_BLOCK, QUERIES_OF_BLOCK = 200_000, 4096
-
-
 @query(
     "vector_topk",
     """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(greatest(0, least(1, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings ON vec_id <> query_id AND label <> 3)
@@ -109,16 +105,5 @@ ROWS_OF_BLOCK, QUERIES_OF_BLOCK = 200_000, 4096
 )
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Exact top five by cosine among allowed labels, for a stated set of query vectors against all rows."""
-    from pyspark.sql import Window
-
-    v = table(spark, sf, "embeddings")
-    # Rows and queries are dealt into blocks, and every pair of blocks is a key of its own: the hash table of a key holds one block of queries.
-    unit = v.select("vec_id", "label", scores.unit(F.col("embedding")).alias("u"))
-    rows, queries = unit.where("label <> 3"), unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    blocks, query_blocks = -(-v.count() // ROWS_OF_BLOCK) or 1, -(-queries.count() // QUERIES_OF_BLOCK) or 1
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("query_block", dealt("query_id", query_blocks)).withColumn("block", every(blocks))
-    met = rows.withColumn("block", dealt("vec_id", blocks)).withColumn("query_block", every(query_blocks)).join(asked.hint("shuffle_hash"), ["block", "query_block"]).where("vec_id <> query_id")
-    scored = met.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scores.dot(F.col("q"), F.col("u")))), 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 5")
+    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
+    return nearest.cosine_topk(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "e"), v.where("label <> 3").select("vec_id", "e"), 5)

@@ -1,10 +1,14 @@
 """What larger tables brought up: instants beside a slot's edge, hot blocks, long chains, many copies."""
 
+from types import SimpleNamespace
+
 import duckdb
+import pandas as pd
 import parity
-import pytest
 
 from larkspur import catalogue
+from larkspur.plans import repair
+from larkspur.streaming import keyed
 
 
 def put(folder, **tables):
@@ -53,3 +57,36 @@ def test_alike_devices_share_their_messages(spark, tmp_path):
     df = catalogue.QUERIES["fan_out"](spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.split("\n")[1].find("Join") >= 0  # the last step sends to each device; nothing is shuffled behind it
+
+
+def test_nearest_vectors_with_ties_and_without_a_length(spark, tmp_path):
+    """More rows than one piece of a product, many of them equal, one without a length."""
+    vectors = "SELECT i::BIGINT AS vec_id, CASE WHEN i = 7 THEN [0, 0]::FLOAT[] ELSE [i % 9 - 4, i % 7 - 3.5]::FLOAT[] END AS embedding, (i % 5)::INT AS label FROM range(6000) t(i)"
+    sf = put(tmp_path, embeddings=vectors)
+    assert equal(spark, "vector_topk", sf) == ""
+    assert "CoGroup" in catalogue.QUERIES["vector_topk"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_spellings_without_a_shuffle(spark, tmp_path):
+    documents = "SELECT * FROM (VALUES (1::BIGINT, 'B a  A b\nB c b'), (2, ''), (3, '   '), (4, NULL), (5, 'Éa éA x')) t(doc_id, text)"
+    sf = put(tmp_path, documents=documents)
+    assert equal(spark, "first_spellings", sf) == ""
+    assert "Aggregate" not in catalogue.QUERIES["first_spellings"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_of_a_chain_end_in_few_rounds(spark, monkeypatch):
+    """Pointers of a round lead down to one end, so the links of a long chain are gone after the first."""
+    steps, put_down = [], repair.written
+    monkeypatch.setattr(repair, "written", lambda df, name: steps.append(name) or put_down(df, name))
+    found = repair.components(spark.range(1, 300).selectExpr("id AS a", "id + 1 AS b"))
+    assert {tuple(r) for r in found.collect()} == {(i, 1) for i in range(1, 301)}
+    assert steps.count("links") == 2
+
+
+def test_a_key_s_events_are_stored_at_once():
+    calls = []
+    store = SimpleNamespace(appendList=lambda rows: calls.append(rows), appendValue=lambda row: calls.append([row]))
+    release = keyed.Release("user_id", 10)
+    release.held, release.handle = store, SimpleNamespace(registerTimer=lambda at: calls.append(at))
+    assert list(release.handleInputRows((1,), [pd.DataFrame({"at": [5, 3], "event_id": [1, 2]}), pd.DataFrame({"at": [4], "event_id": [3]})], None)) == []
+    assert calls == [[(5, 1), (3, 2), (4, 3)], 13]
