@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts, if keys are many: 50 to 85 MB of four columns.
+TASK_ROWS = 500_000
+
 
 def reconcile_catalog(stored: DataFrame, occurrences: DataFrame, key: str, field: str) -> DataFrame:
     """Create, merge or close each role from its source occurrences; a row per key of either side.
@@ -73,12 +76,20 @@ def decide_identity(refs: DataFrame, key: str, scope: str, posting: str, fresh:
     return g.select(key, status.alias("status"), "scopes", "ids")
 
 
-def promote_labels(snapshots: DataFrame, key: str, seq: str, label: str, last: int = 3) -> DataFrame:
-    """Each key's label if its last snapshots agree on exactly one, else the mapping is superseded."""
-    voting = snapshots.withColumn("__r", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where(F.col("__r") <= last)
-    g = voting.groupBy(key).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi"), F.count_distinct(seq).alias("snapshots"))
+def promote_labels(snapshots: DataFrame, key: list[str], seq: str, label: str, last: int = 3) -> DataFrame:
+    """Each key's label if its last snapshots agree on exactly one, else the mapping is superseded.
+
+    Rows are counted and dealt out by key and snapshot, about `TASK_ROWS` to a task, where each snapshot becomes its least
+    and greatest label; then those of a key meet. So no task sorts a whole split of the input or what small shuffled
+    partitions are coalesced to, and a key with very many rows arrives as its distinct snapshots.
+    """
+    tasks = max(snapshots.sparkSession.sparkContext.defaultParallelism, -(-snapshots.count() // TASK_ROWS))
+    each = snapshots.repartition(tasks, *key, seq).groupBy(*key, seq).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi"))
+    latest = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(seq)))
+    voting = each.repartition(tasks, *key).withColumn("__r", latest).where(F.col("__r") <= last)
+    g = voting.groupBy(*key).agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.count(seq).alias("snapshots"))
     one = F.col("__lo") == F.col("__hi")
-    return g.select(key, F.when(one, "promoted").otherwise("superseded").alias("decision"), F.when(one, F.col("__lo")).alias("label"), "snapshots")
+    return g.select(*key, F.when(one, "promoted").otherwise("superseded").alias("decision"), F.when(one, F.col("__lo")).alias("label"), "snapshots")
 
 
 def personalized_releases(matching: DataFrame, release: list[str], cohort: list[str], role: str, least: int = 4) -> DataFrame:

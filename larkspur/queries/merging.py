@@ -86,8 +86,9 @@ def identity_decision(spark: SparkSession, sf: str) -> DataFrame:
     SELECT l_suppkey || ':' || l_partkey AS tenant, CASE WHEN lo = hi THEN 'promoted' ELSE 'superseded' END AS decision, CASE WHEN lo = hi THEN lo END AS label, snapshots FROM g""",
 )
 def consensus_promotion(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select(F.concat_ws(":", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("tenant"), "l_shipdate", "l_returnflag")
-    return merging.promote_labels(rows, "tenant", "l_shipdate", "l_returnflag")
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_returnflag")
+    tenant = F.concat(F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_partkey").cast("string"))
+    return merging.promote_labels(rows, ["l_suppkey", "l_partkey"], "l_shipdate", "l_returnflag").select(tenant.alias("tenant"), "decision", "label", "snapshots")
 
 
 @query(

@@ -7,7 +7,7 @@ import pandas as pd
 import parity
 
 from larkspur import catalogue
-from larkspur.plans import repair
+from larkspur.plans import merging, repair
 from larkspur.streaming import keyed
 
 
@@ -90,3 +90,22 @@ def test_a_key_s_events_are_stored_at_once():
     release.held, release.handle = store, SimpleNamespace(registerTimer=lambda at: calls.append(at))
     assert list(release.handleInputRows((1,), [pd.DataFrame({"at": [5, 3], "event_id": [1, 2]}), pd.DataFrame({"at": [4], "event_id": [3]})], None)) == []
     assert calls == [[(5, 1), (3, 2), (4, 3)], 13]
+
+
+SNAPSHOTS = """SELECT CASE WHEN i % 11 = 0 THEN NULL WHEN i % 2 = 0 THEN 1 ELSE i % 7 END::BIGINT AS l_suppkey, CASE WHEN i % 13 = 0 THEN NULL WHEN i % 2 = 0 THEN 1 ELSE i % 5 END::BIGINT AS l_partkey,
+    CASE WHEN i % 17 > 0 THEN TIMESTAMP '1998-01-01' + INTERVAL (i % 23) DAY END AS l_shipdate, CASE WHEN i % 19 > 0 THEN ['A', 'N', 'R'][CASE WHEN i % 3 = 0 THEN i % 2 ELSE 0 END + 1] END AS l_returnflag FROM range(3000) t(i)"""
+
+
+def test_consensus_of_keys_and_snapshots_that_are_null(spark, tmp_path):
+    """One key with a third of the rows, keys of which a part is null, few days with many rows each."""
+    assert equal(spark, "consensus_promotion", put(tmp_path, lineitem=SNAPSHOTS)) == ""
+
+
+def test_consensus_sorts_few_rows_in_a_task(spark, tmp_path, monkeypatch):
+    """Rows are dealt out before they are sorted, to more tasks the more there are, and a day's rows are one before its key's days meet."""
+    monkeypatch.setattr(merging, "TASK_ROWS", 100, raising=False)
+    sf = put(tmp_path, lineitem=SNAPSHOTS)
+    assert equal(spark, "consensus_promotion", sf) == ""
+    _, between, below = catalogue.QUERIES["consensus_promotion"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert ", 30), REPARTITION_BY_NUM" in between and "SortAggregate" in between
+    assert ", 30), REPARTITION_BY_NUM" in below and "Sort" not in below and "WindowGroupLimit" not in below
