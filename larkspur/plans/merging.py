@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a task sorts, if keys are many: 50 to 85 MB of four columns.
-TASK_ROWS = 500_000
+#: Rows that a task sorts, if keys are many: 50 to 85 MB of four columns. Up to so many tasks, rows go straight to a file for each
+#: (spark.shuffle.sort.bypassMergeThreshold); beyond, a split's rows are held in memory first, so tasks take up to MOST_ROWS before there are more.
+TASK_ROWS, STREAMED_TASKS, MOST_ROWS = 500_000, 200, 5_000_000
 
 
 def reconcile_catalog(stored: DataFrame, occurrences: DataFrame, key: str, field: str) -> DataFrame:
@@ -76,14 +77,20 @@ def decide_identity(refs: DataFrame, key: str, scope: str, posting: str, fresh:
     return g.select(key, status.alias("status"), "scopes", "ids")
 
 
+def sorting_tasks(df: DataFrame) -> int:
+    """Tasks to deal a table's rows out to, so that each sorts few of them and those that write to it hold none."""
+    rows = df.count()
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(STREAMED_TASKS, -(-rows // TASK_ROWS)), -(-rows // MOST_ROWS))
+
+
 def promote_labels(snapshots: DataFrame, key: list[str], seq: str, label: str, last: int = 3) -> DataFrame:
     """Each key's label if its last snapshots agree on exactly one, else the mapping is superseded.
 
-    Rows are counted and dealt out by key and snapshot, about `TASK_ROWS` to a task, where each snapshot becomes its least
+    Rows are counted and dealt out by key and snapshot (`sorting_tasks`), where each snapshot becomes its least
     and greatest label; then those of a key meet. So no task sorts a whole split of the input or what small shuffled
     partitions are coalesced to, and a key with very many rows arrives as its distinct snapshots.
     """
-    tasks = max(snapshots.sparkSession.sparkContext.defaultParallelism, -(-snapshots.count() // TASK_ROWS))
+    tasks = sorting_tasks(snapshots)
     each = snapshots.repartition(tasks, *key, seq).groupBy(*key, seq).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi"))
     latest = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(seq)))
     voting = each.repartition(tasks, *key).withColumn("__r", latest).where(F.col("__r") <= last)

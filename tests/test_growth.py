@@ -109,3 +109,10 @@ def test_consensus_sorts_few_rows_in_a_task(spark, tmp_path, monkeypatch):
     _, between, below = catalogue.QUERIES["consensus_promotion"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("Exchange")
     assert ", 30), REPARTITION_BY_NUM" in between and "SortAggregate" in between
     assert ", 30), REPARTITION_BY_NUM" in below and "Sort" not in below and "WindowGroupLimit" not in below
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """To 200 tasks by few rows each, as rows are written straight to a file for each; then by more rows each."""
+    monkeypatch.setattr(merging, "TASK_ROWS", 100)
+    monkeypatch.setattr(merging, "MOST_ROWS", 1000)
+    assert [merging.sorting_tasks(spark.range(n)) for n in (0, 101, 2_901, 90_000, 200_001)] == [4, 4, 30, 200, 201]
