@@ -46,6 +46,8 @@ LEVELS = {
     "mba": r"(?i:\bm\.?b\.?a\.?s?\b)",
     "doctoral": r"(?i:\b(?:ph\.?\s?d\.?(?!\w)|doctorates?|doctoral)\b)",
 }
+#: What a part of a text has in which one of the levels is found.
+_LEVEL_HINT = r"(?i)undergrad|bachelor|master|graduate|doctora|(?:college|university) student|year|ph\.?\s?d|m\.?b\.?a|(?<![\w.])[bm]\.?(?:sc?|a)(?!\w)"
 _BARE_MASTERS = rf"(?<![\w.'])master'?s?\b(?=\s*(?:$|[,;)]|/|or\b|and\b|in\b|of\b|preferred\b|required\b|{_NOUN}))"
 
 # Degrees from the highest to the lowest, as a demand names them.
@@ -74,6 +76,8 @@ SEASON_MONTH = {"winter": "01", "spring": "05", "summer": "08", "fall": "12", "a
 _MONTH_YEAR = r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\s+20\d{2}\b"
 _SEASON_YEAR = r"(?i)\b(?:Winter|Spring|Summer|Fall|Autumn)\s+20\d{2}\b"
 _GRADUATION = r"(?i)\b(?:graduat(?:es|ed|ing|ion)|graduate(?!\s+(?:students?|school|degree|program|intern|level)\b)|class of|degree completion)\b"
+#: What a text with a graduation clause has.
+_GRADUATION_HINT = "graduat|class of|degree completion"
 # What speaks of the job's own time, not of an applicant's.
 _HIRING = r"(?i)\b(?:(?<!degree\s)(?<!academic\s)(?:internship|program|role|position|job)\s+(?:starts?|begins?|runs?|occurs?|in)\b|(?:winter|spring|summer|fall)\s+(?:20\d{2}\s+(?:internship|program|role|position|job)|internship\s+20\d{2}))\b"
 
@@ -83,7 +87,7 @@ def _says(text: Column, pattern: str) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "’", "'")
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("’"), F.lit("'"))
 
 
 def _clauses(text: Column) -> Column:
@@ -127,27 +131,38 @@ def education_levels(text: Column) -> Column:
     """Sorted levels whose holders or students may apply.
 
     A sentence states the audience and its segments are the alternatives; segments that only prefer a degree or
-    waive it count for nothing, nor do form controls.
+    waive it count for nothing, nor do form controls. Only what has a word of a level is looked at any further.
     """
-    sentences = F.filter(F.split(_plain(text), r"\s*\n+\s*|(?<=[.!?])\s+"), lambda s: ~_says(s, _CONTROL))
-    told = F.flatten(F.transform(sentences, lambda s: F.transform(F.split(s, r"\s*[;|]\s*|\s*,\s*|\s+/\s+"), lambda g: F.struct(g.alias("said"), _says(s, _AUDIENCE).alias("audience")))))
-    told = F.filter(told, lambda t: ~_says(t["said"], _DEMOTED) & ~_says(t["said"], _WAIVED))
+    hinted = lambda x: x.rlike(_LEVEL_HINT)
+    sentences = F.filter(F.split(_plain(text), r"\s*\n+\s*|(?<=[.!?])\s+"), lambda s: hinted(s) & ~_says(s, _CONTROL))
+    segments = lambda s: F.filter(F.split(s, r"\s*[;|]\s*|\s*,\s*|\s+/\s+"), lambda g: hinted(g) & ~_says(g, _DEMOTED) & ~_says(g, _WAIVED))
+    told = F.flatten(F.transform(sentences, lambda s: once(_says(s, _AUDIENCE), lambda audience: F.transform(segments(s), lambda g: F.struct(g.alias("said"), audience.alias("audience"))))))
     bare = lambda t: (t["audience"] & _says(t["said"], _BARE_MASTERS)) | _says(t["said"], r"\(\s*" + _BARE_MASTERS.replace(r"(?<![\w.'])", "", 1))
     has = lambda told, name, p: F.exists(told, lambda t: t["said"].rlike(p) | bare(t) if name == "masters" else t["said"].rlike(p))
-    return once(told, lambda told: F.array_sort(F.array_compact(F.array(*[F.when(has(told, name, p), name) for name, p in LEVELS.items()]))))
+    levels = once(told, lambda told: F.array_sort(F.array_compact(F.array(*[F.when(has(told, name, p), name) for name, p in LEVELS.items()]))))
+    return F.when(hinted(_plain(text)), levels).otherwise(F.array().cast("array<string>"))
 
 
 def minimum_degree(text: Column) -> Column:
     """The degree that a text demands; of demanded alternatives the lowest; null without a demand."""
     told = F.filter(_clauses(text), lambda c: ~_says(c, r"\b(?:not required|no\s+(?:[\w'-]+\s+){0,3}degree\s+(?:is\s+)?required)\b"))
-    either = F.get(F.filter(told, lambda c: _says(c, rf"{_OR_DEGREES}\s+(?:is\s+|are\s+)?required\b|\bmust (?:have|hold|possess)\s+(?:an?\s+)?{_OR_DEGREES}")), 0)
-    choices = F.regexp_extract(either, rf"(?i)({_OR_DEGREES})", 1)
-    whole, lowest, demanded = F.array_join(told, " "), F, F
-    for name, p in reversed(DEGREES):
-        lowest = lowest.when(_says(choices, rf"\b{p}"), name)
-    for name, p in DEGREES:
-        demanded = demanded.when(_says(whole, rf"\b{p}(?: degree)?\s+(?:is\s+)?required\b|\bmust\s+(?:have|hold|possess)\s+(?:an?\s+)?{p}(?: degree)?\b|\bminimum(?: education| degree)?[^.;]{{0,30}}\b{p}\b"), name)
-    return F.when(_says(text, "required|must|minimum"), F.when(either.isNotNull(), lowest).otherwise(demanded.when(_says(whole, _HIGH_SCHOOL), "high-school")))
+    either = lambda told: F.get(F.filter(told, lambda c: _says(c, rf"{_OR_DEGREES}\s+(?:is\s+|are\s+)?required\b|\bmust (?:have|hold|possess)\s+(?:an?\s+)?{_OR_DEGREES}")), 0)
+
+    def lowest(choices: Column) -> Column:
+        tried = F
+        for name, p in reversed(DEGREES):
+            tried = tried.when(_says(choices, rf"\b{p}"), name)
+        return tried.otherwise(None)
+
+    def demanded(whole: Column) -> Column:
+        tried = F
+        for name, p in DEGREES:
+            tried = tried.when(_says(whole, rf"\b{p}(?: degree)?\s+(?:is\s+)?required\b|\bmust\s+(?:have|hold|possess)\s+(?:an?\s+)?{p}(?: degree)?\b|\bminimum(?: education| degree)?[^.;]{{0,30}}\b{p}\b"), name)
+        return tried.when(_says(whole, _HIGH_SCHOOL), "high-school").otherwise(None)
+
+    choices = lambda told: F.regexp_extract(either(told), rf"(?i)({_OR_DEGREES})", 1)
+    found = once(told, lambda told: once(choices(told), lambda of: F.when(of.isNotNull(), lowest(of)).otherwise(once(F.array_join(told, " "), demanded))))
+    return F.when(_says(text, "required|must|minimum") & _says(text, r"associate|bachelor|master|ph\.?d|doctora|high"), found)
 
 
 def housing_kinds(text: Column) -> Column:
@@ -162,7 +177,7 @@ def housing_kinds(text: Column) -> Column:
             tried = tried.when(_says(c, p) & (~_says(c, unless) if unless else F.lit(True)), name)
         return tried.otherwise(None)
 
-    return F.array_distinct(F.array_compact(F.transform(about, kind)))
+    return F.when(_says(_plain(text), "housing|accommodation|rent"), F.array_distinct(F.array_compact(F.transform(about, kind)))).otherwise(F.array().cast("array<string>"))
 
 
 def graduation_window(text: Column) -> Column:
@@ -172,16 +187,18 @@ def graduation_window(text: Column) -> Column:
     """
     clauses = F.filter(_clauses(text), lambda c: c.rlike(_GRADUATION))
     first = lambda c, p: F.regexp_instr(c, F.lit(p))
-    own = lambda c: F.when(first(c, _HIRING) == 0, c).when(first(c, _HIRING) < first(c, _GRADUATION), F.substr(c, first(c, _GRADUATION))).otherwise(F.left(c, first(c, _HIRING) - 1))
+    cut = lambda c, hiring: once(first(c, _GRADUATION), lambda at: F.when(hiring < at, F.substr(c, at)).otherwise(F.left(c, hiring - 1)))
+    own = lambda c: once(first(c, _HIRING), lambda hiring: F.when(hiring == 0, c).otherwise(cut(c, hiring)))
     context = F.array_join(F.transform(F.transform(clauses, own), lambda c: F.left(F.get(F.split(c, r"(?i)\b(?:applications? (?:close|deadline)|apply by)\b"), 0), F.lit(400))), " ")
     number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, f"{k:02d}")])
     season = F.create_map(*[F.lit(v) for pair in SEASON_MONTH.items() for v in pair])
-    named = F.transform(F.regexp_extract_all(context, F.lit(_MONTH_YEAR), F.lit(0)), lambda d: F.concat(F.right(d, F.lit(4)), F.lit("-"), number[F.lower(F.left(d, F.lit(3)))]))
-    turns = F.transform(F.regexp_extract_all(context, F.lit(_SEASON_YEAR), F.lit(0)), lambda d: F.concat(F.right(d, F.lit(4)), F.lit("-"), season[F.lower(F.regexp_extract(d, r"^(\w+)", 1))]))
-    dates, years = F.concat(named, turns), F.regexp_extract_all(context, F.lit(r"\b20\d{2}\b"), F.lit(0))
+    named = lambda context: F.transform(F.regexp_extract_all(context, F.lit(_MONTH_YEAR), F.lit(0)), lambda d: F.concat(F.right(d, F.lit(4)), F.lit("-"), number[F.lower(F.left(d, F.lit(3)))]))
+    turns = lambda context: F.transform(F.regexp_extract_all(context, F.lit(_SEASON_YEAR), F.lit(0)), lambda d: F.concat(F.right(d, F.lit(4)), F.lit("-"), season[F.lower(F.regexp_extract(d, r"^(\w+)", 1))]))
+    years = lambda context: F.regexp_extract_all(context, F.lit(r"\b20\d{2}\b"), F.lit(0))
     window = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    told = F.when(F.size(dates) > 0, window(F.array_min(dates), F.array_max(dates))).when(F.size(years) > 0, window(F.concat(F.array_min(years), F.lit("-01")), F.concat(F.array_max(years), F.lit("-12"))))
-    return F.when(_says(text, "graduat|class of|degree completion"), told)
+    whole = lambda years: F.when(F.size(years) > 0, window(F.concat(F.array_min(years), F.lit("-01")), F.concat(F.array_max(years), F.lit("-12"))))
+    told = lambda context: once(F.concat(named(context), turns(context)), lambda dates: F.when(F.size(dates) > 0, window(F.array_min(dates), F.array_max(dates))).otherwise(once(years(context), whole)))
+    return F.when(_says(text, _GRADUATION_HINT) & _says(text, r"20\d{2}"), once(context, told))
 
 
 def closed(text: Column) -> Column:
@@ -227,9 +244,10 @@ def destination_class(said: Column) -> Column:
 
 def stated_season(text: Column) -> Column:
     """struct<term, year> of the first season named with a year (`Summer 2027`, `Summer Internship 2027`) outside of graduation clauses."""
-    clauses = F.filter(_clauses(text), lambda c: ~c.rlike(_GRADUATION))
-    hit = F.regexp_substr(F.array_join(clauses, "\n"), F.lit(r"(?i)\b(?:spring|summer|fall|winter)\s*(?:intern(?:ship)?\s*)?20\d{2}\b"))
-    return F.when(hit.isNotNull(), F.struct(F.lower(F.regexp_extract(hit, r"(?i)^([a-z]{4}(?:er|ng)?)", 1)).alias("term"), F.right(hit, F.lit(4)).cast("int").alias("year")))
+    others = F.array_join(F.filter(_clauses(text), lambda c: ~c.rlike(_GRADUATION)), "\n")
+    hit = F.regexp_extract(F.when(_says(text, _GRADUATION_HINT), others).otherwise(text), r"(?i)\b(?:spring|summer|fall|winter)\s*(?:intern(?:ship)?\s*)?20\d{2}\b", 0)
+    told = lambda hit: F.when(hit != "", F.struct(F.lower(F.regexp_extract(hit, r"(?i)^([a-z]{4}(?:er|ng)?)", 1)).alias("term"), F.right(hit, F.lit(4)).cast("int").alias("year")))
+    return F.when(_says(text, "spring|summer|fall|winter") & _says(text, r"20\d{2}"), once(hit, told))
 
 
 _MONTH_NAME = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -238,20 +256,21 @@ _MONTH_NAME = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|ju
 def stated_date(said: Column) -> Column:
     """The first full date of a text: 2027-05-01, else May 1st, 2027, else 1 May 2027, else 5/13/2027 where only one order is possible. Null if that one isn't in the calendar."""
 
+    number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, k)])
+    iso, named, turned, slash = r"\b(20\d{2}-\d{2}-\d{2})(?!\d)", rf"(?i)\b({_MONTH_NAME})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH_NAME})\s+(20\d{{2}})\b", r"\b(\d{1,2})/(\d{1,2})/(20\d{2})\b"
+    month = lambda name: number[F.lower(F.left(name, F.lit(3)))]
+    written = lambda y, m, d: F.format_string("%s-%02d-%02d", y, m, d.try_cast("int"))
+
+    def either(hit: Column) -> Column:
+        part = lambda g: F.regexp_extract(hit, slash, g)
+        a, b = part(1).try_cast("int"), part(2).try_cast("int")
+        return F.when((a <= 12) & (b > 12), written(part(3), a, b)).when((a > 12) & (b <= 12), written(part(3), b, a))
+
     def date(text: Column) -> Column:
-        number = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, k)])
-        part = lambda p, g: F.regexp_extract(text, p, g)
-        iso, named, turned, slash = r"\b(20\d{2}-\d{2}-\d{2})(?!\d)", rf"(?i)\b({_MONTH_NAME})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH_NAME})\s+(20\d{{2}})\b", r"\b(\d{1,2})/(\d{1,2})/(20\d{2})\b"
-        month = lambda name: number[F.lower(F.left(name, F.lit(3)))]
-        written = lambda y, m, d: F.format_string("%s-%02d-%02d", y, m, d.try_cast("int"))
-        a, b = part(slash, 1).try_cast("int"), part(slash, 2).try_cast("int")
-        either = F.when((a <= 12) & (b > 12), written(part(slash, 3), a, b)).when((a > 12) & (b <= 12), written(part(slash, 3), b, a))
-        found = (
-            F.when(part(iso, 1) != "", part(iso, 1))
-            .when(part(named, 1) != "", written(part(named, 3), month(part(named, 1)), part(named, 2)))
-            .when(part(turned, 1) != "", written(part(turned, 3), month(part(turned, 2)), part(turned, 1)))
-            .otherwise(either)
-        )
-        return F.when(text.rlike(r"20\d{2}"), F.try_to_date(found, "yyyy-MM-dd"))
+        """Each form is searched for once, and only where those before it aren't found; the parts come from what was found."""
+        found = lambda p, use, other: once(F.regexp_extract(text, p, 0), lambda hit: F.when(hit != "", use(hit)).otherwise(other))
+        worded = lambda p, m, d: lambda hit: written(F.regexp_extract(hit, p, 3), month(F.regexp_extract(hit, p, m)), F.regexp_extract(hit, p, d))
+        told = found(iso, lambda hit: hit, found(named, worded(named, 1, 2), found(turned, worded(turned, 2, 1), found(slash, either, F.lit(None).cast("string")))))
+        return F.when(text.rlike(r"20\d{2}"), F.try_to_date(told, "yyyy-MM-dd"))
 
     return once(said, date)

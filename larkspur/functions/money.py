@@ -39,6 +39,8 @@ CODES = (
     "USD|CAD|AUD|NZD|SGD|HKD|EUR|GBP|JPY|CNY|INR|CHF|SEK|NOK|DKK|PLN|CZK|HUF|RON|BRL|MXN|ARS|CLP|COP|KRW|TWD|IDR|MYR|PHP|THB|VND|ILS|AED|SAR|ZAR|TRY|XXX"
 )
 PERIODS = {"hourly": "hourly|hour|hr", "annual": "yearly|year|yr|annum|annually|annualized|annual", "daily": "daily|day", "weekly": "weekly|week", "monthly": "monthly|month", "other": "biweekly|bi-weekly|semimonthly|semi-monthly|bimonthly|fortnightly|one-time"}
+#: What a text has in which pay is found with a period.
+_PERIOD_HINT = r"(?i)hour|hr|year|yr|ann|dai|day|week|month|fortnight|one-time"
 #: What isn't base pay.
 NO_PAY = r"(?i)\b(?:sign[ -]?on|signing bonus|revenue|salary expectations?|desired salary|stipend|lunch allowance)\b"
 _PLAIN = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
@@ -88,10 +90,11 @@ def pay_ranges(text: Column) -> Column:
     """
     segments = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\bUS\$", "USD \\$"), r"(?<=[.;])\s+|\s*[;\n]\s*")
     codes = lambda s: F.size(F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)\b({CODES})\b"), F.lit(1)), F.upper)))
-    told = F.filter(segments, lambda s: s.rlike("[0-9]") & ~s.rlike(NO_PAY) & (codes(s) <= 1))
+    told = F.filter(segments, lambda s: s.rlike("[0-9]") & s.rlike(_PERIOD_HINT) & ~s.rlike(NO_PAY) & (codes(s) <= 1))
     found = F.flatten(F.transform(told, lambda s: F.concat(F.transform(F.regexp_extract_all(s, F.lit(STATED), F.lit(0)), _stated), F.transform(F.regexp_extract_all(s, F.lit(LABELLED), F.lit(0)), _labelled))))
     usd = lambda x, low, high: (x["low"] >= low) & (x["high"] <= high)
     plausible = lambda x: F.when(x["currency"] != "USD", (x["low"] > 0) & (x["high"] <= 1_000_000_000)).when(x["period"] == "hourly", usd(x, 5, 500)).when(x["period"] == "annual", usd(x, 10_000, 1_000_000)).otherwise((x["low"] > 0) & (x["high"] <= 1_000_000))
     kept = F.array_sort(F.array_distinct(F.filter(found, lambda x: x["currency"].isNotNull() & plausible(x))))
     wider = lambda x, r: (r["low"] < r["high"]) & (r["period"] == x["period"]) & ((r["currency"] == x["currency"]) | (x["currency"] == "XXX")) & ((x["low"] == r["low"]) | (x["low"] == r["high"]))
-    return once(kept, lambda kept: F.filter(kept, lambda x: (x["low"] < x["high"]) | ~F.exists(kept, lambda r: wider(x, r))))
+    ranges = once(kept, lambda kept: F.filter(kept, lambda x: (x["low"] < x["high"]) | ~F.exists(kept, lambda r: wider(x, r))))
+    return F.when(text.rlike("[0-9]") & text.rlike(_PERIOD_HINT), ranges).otherwise(F.array().cast("array<struct<low:double,high:double,currency:string,period:string>>"))

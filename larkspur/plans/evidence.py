@@ -1,18 +1,24 @@
 """What a posting states about its role, as one struct: from its sections, its structured fields and its title.
 
-Everything is built-in expressions over one row: no shuffle, no Python.
+Everything is built-in expressions over one row, without Python; only texts that come many times are first made distinct, on demand.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import extract, money, text
+from larkspur.storage import written
 
 # Page statements of where work is done, what makes them conditional, and what states a deadline.
 _LABELLED_MODE = r"(?i)\b(?:work(?:place| location| arrangement)?|location type|work mode)\s*(?::|\n)\s*(remote|hybrid|on[ -]?site|in[ -]?person)\b"
 _ASSERTED_MODE = r"(?i)\b(?:this|the)\s+(?:role|position|job|internship)\s+is\s+(?:a\s+full[ -]time\s+position,?\s+|based\s+|a\s+|fully\s+){0,2}(remote|hybrid|on[ -]?site|in[ -]?person)\b"
+#: What a text has that states a mode, and one that states a deadline.
+_MODE_HINT, _DUE_HINT = r"(?i)remote|hybrid|on[ -]?site|in[ -]?person", r"(?i)rolling|deadline|close|apply by|submitted by"
 _HEDGED = r"(?i)\b(?:not|may|might|could|would|depending|conditional(?:ly)?|potentially|if|unless|subject to)\b"
 _ROLLING = r"(?i)\bapplications?\s+(?:are\s+)?(?:reviewed|accepted|considered|processed) on (?:a )?rolling basis\b"
 _NOT_ROLLING = r"(?i)\b(?:no applications?|not|never|only if|if|unless|subject to|may|might|could)\b"
@@ -24,14 +30,23 @@ _SEASON = r"(?i)\b(?:spring|summer|fall|winter)\s*(?:intern(?:ship)?\s*)?20\d{2}
 
 #: A line of its own that ends with a colon, or a heading of Markdown, opens a section; a label has at most 80 characters.
 HEADING = r"(?m)^[ \t]*(?:#{1,6}[ \t]+[^\n]{1,80}|[^\n:.;]{1,80}:[ \t]*)$"
+#: What a text with a heading has.
+_HEADED = r"(?m)^[ \t]*#{1,6}[ \t]|:[ \t]*$"
 #: Excerpts and labels are bounded by their feature.
 EXCERPT, LABEL = 240, 120
+_CONTROLS = r"[\x00-\x08\x0b-\x1f]"
 DEADLINE = "struct<kind:string,date:date>"
+#: What a posting may state, and which of it are arrays.
+FIELDS = ("pay", "housing", "levels", "minimum_degree", "graduation", "season", "locations", "work_mode", "deadline", "posted", "updated")
+MANY = ("pay", "housing", "levels", "locations", "title_levels")
+#: Bytes of distinct texts and what they state that may be broadcast, and about what is stated beside each text.
+FEW_BYTES, TOLD_BYTES = 96 << 20, 512
 
 
 def _lines(value: Column) -> Column:
     """Line feeds only, and no controls but those and tabs."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\r\n?", "\n"), r"[\x00-\x08\x0b-\x1f]", "")
+    fed = F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.when(fed.rlike(_CONTROLS), F.regexp_replace(fed, _CONTROLS, "")).otherwise(fed)
 
 
 def sections(value: Column) -> Column:
@@ -41,16 +56,22 @@ def sections(value: Column) -> Column:
     without a gap. A null or empty text has none.
     """
     whole = F.coalesce(value, F.lit(""))
-    heading = lambda p: F.regexp_substr(F.split_part(p, F.lit("\n"), F.lit(1)), F.lit(HEADING))
+    heading = lambda p: F.regexp_extract(F.substring_index(p, "\n", 1), HEADING, 0)
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     label = lambda h: F.left(F.trim(F.regexp_replace(h, r"^[ \t]*#{1,6}|:?[ \t]*$", "")), F.lit(LABEL))
-    body = lambda p, h: F.when(h.isNull(), p).otherwise(F.substr(p, F.char_length(h) + 1))
+    piece = lambda p, h, start: F.struct(F.when(h != "", label(h)).alias("label"), start.alias("start"), stripped(F.when(h == "", p).otherwise(F.substr(p, F.char_length(h) + 1))).alias("text"))
 
     def placed(pieces: Column, lengths: Column) -> Column:
         start = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
-        return F.transform(pieces, lambda p, i: text.once(heading(p), lambda h: F.struct(label(h).alias("label"), start(i).alias("start"), F.regexp_replace(body(p, h), r"^\s+|\s+$", "").alias("text"))))
+        return F.transform(pieces, lambda p, i: text.once(heading(p), lambda h: piece(p, h, start(i))))
+
+    several = text.once(_pieces(whole), lambda pieces: text.once(F.transform(pieces, lambda p: F.char_length(p)), lambda lengths: placed(pieces, lengths)))
+    one = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), stripped(whole).alias("text")))
+    return F.when(whole.rlike(_HEADED), several).when(whole != "", one).otherwise(F.slice(one, 1, 0))
 
-    split = F.filter(F.split(whole, f"(?={HEADING})"), lambda p: p != "")
-    return text.once(split, lambda pieces: text.once(F.transform(pieces, lambda p: F.char_length(p)), lambda lengths: placed(pieces, lengths)))
+
+def _pieces(whole: Column) -> Column:
+    return F.filter(F.split(whole, f"(?={HEADING})"), lambda p: p != "")
 
 
 def content_hash(title: Column, description: Column, most_bytes: int = 200_000) -> Column:
@@ -73,9 +94,9 @@ def _mode(found: Column) -> Column:
 
 def page_work_mode(value: Column) -> Column:
     """remote, hybrid or onsite by a label, else by a sentence that asserts it of this role without condition."""
-    labelled = F.regexp_extract(value, _LABELLED_MODE, 1)
     asserted = F.filter(F.split(value, r"[.!?;\n]"), lambda s: s.rlike(_ASSERTED_MODE) & ~s.rlike(_HEDGED))
-    return F.when(labelled != "", _mode(labelled)).otherwise(_mode(F.regexp_extract(F.get(asserted, 0), _ASSERTED_MODE, 1)))
+    told = text.once(F.regexp_extract(value, _LABELLED_MODE, 1), lambda labelled: F.when(labelled != "", labelled).otherwise(F.regexp_extract(F.get(asserted, 0), _ASSERTED_MODE, 1)))
+    return F.when(value.rlike(_MODE_HINT), text.once(told, _mode))
 
 
 def _sentences(value: Column) -> Column:
@@ -88,21 +109,83 @@ def deadline(value: Column) -> Column:
     rolling = F.struct(F.lit("rolling").alias("kind"), F.lit(None).cast("date").alias("date"))
     said = lambda s: F.when(s.rlike(_ROLLING), F.when(~s.rlike(_NOT_ROLLING), rolling)).when(s.rlike(_DEADLINE), dated(s))
     told = F.filter(F.array_compact(F.transform(_sentences(value), said)), lambda d: (d["kind"] == "rolling") | d["date"].isNotNull())
-    return F.get(told, 0).cast(DEADLINE)
+    return F.when(value.rlike(_DUE_HINT), F.get(told, 0).cast(DEADLINE))
 
 
-def labelled_pay(pieces: Column, field: Column) -> Column:
-    """array<struct<low, high, currency, period, label>> from sections, and from a field of its own, which has no label.
+def _labelled(ranges: Column, label: Column) -> Column:
+    return F.transform(ranges, lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high"), r["currency"].alias("currency"), r["period"].alias("period"), label.alias("label")))
 
-    An amount without a label goes where the same one, of an equal or an unknown currency, has one.
-    """
-    told = lambda ranges, label: F.transform(ranges, lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high"), r["currency"].alias("currency"), r["period"].alias("period"), label.alias("label")))
-    found = F.concat(F.flatten(F.transform(pieces, lambda s: told(money.pay_ranges(s["text"]), s["label"]))), told(money.pay_ranges(field), F.lit(None).cast("string")))
+
+def _section_pay(pieces: Column) -> Column:
+    """array<struct<low, high, currency, period, label>> of what each section states."""
+    return F.flatten(F.transform(pieces, lambda s: _labelled(money.pay_ranges(s["text"]), s["label"])))
+
+
+def labelled_pay(found: Column) -> Column:
+    """Pay of sections and fields, distinct and sorted. An amount without a label goes where the same one, of an equal or an unknown currency, has one."""
     same = lambda x, r: r["label"].isNotNull() & (r["low"] == x["low"]) & (r["high"] == x["high"]) & (r["period"] == x["period"]) & ((r["currency"] == x["currency"]) | (x["currency"] == "XXX"))
     return text.once(found, lambda found: F.array_sort(F.array_distinct(F.filter(found, lambda x: x["label"].isNotNull() | ~F.exists(found, lambda r: same(x, r))))))
 
 
-def with_evidence(rows: DataFrame, title: str = "title", description: str = "description", pay: str | None = None, due: str | None = None, mode: str | None = None, into: str = "evidence") -> DataFrame:
+def _told(texts: DataFrame, name: str) -> DataFrame:
+    """What each text states by itself, as columns `_field`; `_pay` still with what its labelled twin makes superfluous."""
+    read = texts.withColumn("_text", _lines(F.col(name))).withColumn("_pieces", sections(F.col("_text")))
+    body = F.col("_text")
+    place = F.trim(F.regexp_extract(body, _LOCATION, 1))
+    fields = {
+        "sections": F.size("_pieces"), "pay": _section_pay(F.col("_pieces")), "housing": extract.housing_kinds(body), "levels": extract.education_levels(body), "minimum_degree": extract.minimum_degree(body), "graduation": extract.graduation_window(body),
+        "season": extract.stated_season(body), "locations": F.when((place != "") & ~place.rlike(r"(?i)^(?:remote|hybrid|on[ -]?site|in[ -]?person)$"), F.array(place)).otherwise(F.array().cast("array<string>")),
+        "work_mode": page_work_mode(body), "deadline": deadline(body), "posted": extract.stated_date(F.regexp_extract(body, _POSTED, 1)), "updated": extract.stated_date(F.regexp_extract(body, _UPDATED, 1)),
+    }
+    return read.withColumns({f"_{k}": v for k, v in fields.items()}).drop("_text", "_pieces")
+
+
+def _told_once(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with what their texts state, each distinct text read once. What was told is written; few bytes of it are broadcast, more are joined by shuffle.
+
+    Reading a text takes far longer than moving it, so few bytes of texts are dealt out to all cores too.
+    """
+    texts = rows.select(name).distinct().repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, name)
+    told = written(_told(texts, name), "texts")
+    few = (told.agg(F.sum(F.octet_length(name) + TOLD_BYTES)).first()[0] or 0) <= FEW_BYTES
+    return rows.join(F.broadcast(told) if few else told, name)
+
+
+def with_statements(rows: DataFrame, title: str = "title", description: str = "description", pay: str | None = None, due: str | None = None, mode: str | None = None, alike: bool = False) -> DataFrame:
+    """Rows with what the posting states, each field a column of its own.
+
+    They are `_` and a name of FIELDS, `_sections` (their number), `_excerpts` (by field), `_title_levels`,
+    `_title_season` and `_title_work_mode` (what the title alone tells) and `_stated`, whether there is anything.
+    The rest is as in `with_evidence`. With `alike`, texts that come many times are read once; the rows are then
+    worked out twice, so they should be cheap.
+    """
+    column = lambda name: F.coalesce(F.col(name), F.lit("")) if name else F.lit("")
+    rows = rows.withColumn("_said", F.coalesce(F.col(description), F.lit("")))
+    said = (_told_once if alike else _told)(rows, "_said").withColumn("_title", F.trim(_lines(F.col(title))))
+    head, at = F.col("_title"), lambda name: F.col(f"_{name}")
+    both = F.concat(head, F.lit("\n"), _lines(F.col("_said")))
+    alone = {"title_levels": extract.education_levels(head), "title_season": extract.stated_season(head), "title_work_mode": _mode(F.regexp_extract(head, r"(?i)\b(remote|hybrid|on[ -]?site)\b", 1))}
+    said = said.withColumns({f"_{k}": v for k, v in alone.items()})
+    # the first season of both begins in the title if it has the word of one; only its year may stand in the text then
+    season = F.when(at("title_season").isNotNull(), at("title_season")).when(head.rlike("(?i)spring|summer|fall|winter"), extract.stated_season(both)).otherwise(at("season"))
+    found = F.concat(at("pay"), _labelled(money.pay_ranges(column(pay)), F.lit(None).cast("string"))) if pay else at("pay")
+    merged = {"season": season, "pay": F.when(F.size(found) > 1, labelled_pay(found)).otherwise(found)}
+    if due:
+        date = extract.stated_date(column(due))
+        given = F.when(column(due).rlike(r"(?i)\brolling\b"), F.struct(F.lit("rolling").alias("kind"), F.lit(None).cast("date").alias("date"))).when(date.isNotNull(), F.struct(F.lit("date").alias("kind"), date.alias("date")))
+        merged["deadline"] = F.coalesce(given.cast(DEADLINE), at("deadline"))
+    if mode:
+        merged["work_mode"] = F.coalesce(_mode(F.regexp_extract(column(mode), r"(?i)\b(remote|hybrid|on[ -]?site|in[ -]?person)\b", 1)), at("work_mode"))
+    said = said.withColumns({f"_{k}": v for k, v in merged.items()})
+    education = (F.size(at("levels")) > 0) | at("minimum_degree").isNotNull() | at("graduation").isNotNull()
+    excerpt = lambda pattern: text.once(F.trim(F.get(F.filter(_sentences(both), lambda s: s.rlike(pattern)), 0)), lambda s: text.bounded(s, EXCERPT))
+    excerpts = {"education": F.when(education, excerpt(_EDUCATION)), "season": F.when(at("season").isNotNull(), excerpt(_SEASON)), "deadline": F.when(at("deadline").isNotNull(), excerpt(rf"{_DEADLINE}|\brolling\b"))}
+    held = F.map_filter(F.create_map(*[x for k, v in excerpts.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    any_of = lambda names: reduce(or_, [F.size(at(k)) > 0 if k in MANY else at(k).isNotNull() for k in names])
+    return said.withColumns({"_excerpts": held, "_stated": any_of((*FIELDS, *alone))}).drop("_said", "_title")
+
+
+def with_evidence(rows: DataFrame, title: str = "title", description: str = "description", pay: str | None = None, due: str | None = None, mode: str | None = None, into: str = "evidence", alike: bool = False) -> DataFrame:
     """Rows with one struct of what the posting states; null where it states nothing.
 
     Its fields: pay, housing, levels, minimum_degree, graduation, season, locations, work_mode, deadline, posted,
@@ -111,26 +194,9 @@ def with_evidence(rows: DataFrame, title: str = "title", description: str = "des
     of structured fields, which come before the text's statements for deadline and mode and beside them for pay.
     Null texts count as empty.
     """
-    column = lambda name: F.coalesce(F.col(name), F.lit("")) if name else F.lit("")
-    said = rows.withColumn("_text", _lines(F.col(description))).withColumn("_title", F.trim(_lines(F.col(title)))).withColumn("_pieces", sections(F.col("_text")))
-    body, head = F.col("_text"), F.col("_title")
-    place = F.trim(F.regexp_extract(body, _LOCATION, 1))
-    given = F.when(column(due).rlike(r"(?i)\brolling\b"), F.struct(F.lit("rolling").alias("kind"), F.lit(None).cast("date").alias("date"))).when(extract.stated_date(column(due)).isNotNull(), F.struct(F.lit("date").alias("kind"), extract.stated_date(column(due)).alias("date")))
-    fields = {
-        "pay": labelled_pay(F.col("_pieces"), column(pay)), "housing": extract.housing_kinds(body), "levels": extract.education_levels(body), "minimum_degree": extract.minimum_degree(body), "graduation": extract.graduation_window(body),
-        "season": extract.stated_season(F.concat(head, F.lit("\n"), body)), "locations": F.when((place != "") & ~place.rlike(r"(?i)^(?:remote|hybrid|on[ -]?site|in[ -]?person)$"), F.array(place)).otherwise(F.array().cast("array<string>")),
-        "work_mode": F.coalesce(_mode(F.regexp_extract(column(mode), r"(?i)\b(remote|hybrid|on[ -]?site|in[ -]?person)\b", 1)), page_work_mode(body)), "deadline": F.coalesce(given.cast(DEADLINE), deadline(body)),
-        "posted": extract.stated_date(F.regexp_extract(body, _POSTED, 1)), "updated": extract.stated_date(F.regexp_extract(body, _UPDATED, 1)),
-    }
-    said = said.withColumns({f"_{k}": v for k, v in fields.items()})
+    said = with_statements(rows, title, description, pay, due, mode, alike)
     at = lambda name: F.col(f"_{name}")
-    many = ("pay", "housing", "levels", "locations")
-    education = (F.size(at("levels")) > 0) | at("minimum_degree").isNotNull() | at("graduation").isNotNull()
-    anything = F.greatest(*[F.size(at(k)) > 0 for k in many], *[at(k).isNotNull() for k in fields if k not in many])
-    excerpt = lambda pattern: text.bounded(F.trim(F.get(F.filter(_sentences(F.concat(head, F.lit("\n"), body)), lambda s: s.rlike(pattern)), 0)), EXCERPT)
-    excerpts = {"education": F.when(education, excerpt(_EDUCATION)), "season": F.when(at("season").isNotNull(), excerpt(_SEASON)), "deadline": F.when(at("deadline").isNotNull(), excerpt(rf"{_DEADLINE}|\brolling\b"))}
-    held = F.map_filter(F.create_map(*[x for k, v in excerpts.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-    alone = {"levels": extract.education_levels(head), "season": extract.stated_season(head), "work_mode": _mode(F.regexp_extract(head, r"(?i)\b(remote|hybrid|on[ -]?site)\b", 1))}
-    of_title = F.when((F.size(alone["levels"]) > 0) | alone["season"].isNotNull() | alone["work_mode"].isNotNull(), F.struct(*[v.alias(k) for k, v in alone.items()]))
-    whole = F.struct(*[at(k).alias(k) for k in fields], held.alias("excerpts"), of_title.alias("from_title"))
-    return said.withColumn(into, F.when(anything | of_title.isNotNull(), whole)).drop("_text", "_title", "_pieces", *[f"_{k}" for k in fields])
+    by_title = {k: at(f"title_{k}") for k in ("levels", "season", "work_mode")}
+    of_title = F.when((F.size(by_title["levels"]) > 0) | by_title["season"].isNotNull() | by_title["work_mode"].isNotNull(), F.struct(*[v.alias(k) for k, v in by_title.items()]))
+    whole = F.struct(*[at(k).alias(k) for k in FIELDS], at("excerpts").alias("excerpts"), of_title.alias("from_title"))
+    return said.select(*rows.columns, F.when(at("stated"), whole).alias(into))

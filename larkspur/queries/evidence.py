@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.catalogue import query
-from larkspur.plans import evidence
+from larkspur.plans import evidence, merging
 from larkspur.session import table
 
 
@@ -22,11 +22,12 @@ from larkspur.session import table
       CASE WHEN k = 4 THEN d || ' ' || d END AS posted_updated, CASE k WHEN 0 THEN 'summer ' || y WHEN 3 THEN 'doctoral fall ' || y || ' remote' END AS from_title, sha256('{"title":"' || title || '","description":"' || replace(said, chr(10), '\n') || '","completeness":"complete"}') AS hash FROM t""",
 )
 def role_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections, evidence and content hash of a posting for each order; two of six kinds state nothing. A few files of orders hold many postings, so the rows are dealt out before they are read."""
+    """Sections, evidence and content hash of a posting for each order; two of six kinds state nothing. A few files of orders hold many postings, so the rows are dealt out before they are read; equal texts are read once."""
     e = F.expr
-    rows = table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders")
+    rows = orders.select(
         F.col("o_orderkey").alias("n"), e("o_orderkey % 6").alias("k"), e("year(o_orderdate) + 20").alias("y"), e("o_custkey % 40 + 20").alias("a"), e("o_custkey % 7").alias("c"), F.add_months("o_orderdate", 240).alias("d")
-    ).repartition("n")
+    ).repartition(merging.sorting_tasks(orders), "n")
     titles = {0: "'Summer Intern ' || y", 3: "'PhD Intern (Remote), Fall ' || y"}
     texts = {
         0: r"'We build things.\r\nCompensation:\r\nUSD ' || a || ' - ' || (a + 5) || ' per hour.\nLocation: City ' || c || '\nRequirements:\nYou must have a Bachelor\'s degree. Graduating between June ' || (y + 1) || ' and June ' || (y + 2) || '.\n# How to apply\nApplications are reviewed on a rolling basis.'",
@@ -36,14 +37,14 @@ def role_evidence(spark: SparkSession, sf: str) -> DataFrame:
     }
     case = lambda kinds, other: e("CASE k " + " ".join(f"WHEN {k} THEN {x}" for k, x in kinds.items()) + f" ELSE {other} END")
     rows = rows.select("n", case(titles, "'Order ' || n").alias("title"), case(texts, "'We build things ' || c || '.'").alias("description"))
-    met = evidence.with_evidence(rows).select("n", "title", "description", F.size(evidence.sections(F.col("description"))).alias("n_sections"), "evidence", F.col("evidence").isNotNull().alias("stated"))
+    met = evidence.with_statements(rows, alike=True)
     text = lambda x: F.nullif(x, F.lit(""))
     season = lambda s: F.concat_ws(" ", s["term"], s["year"].cast("string"))
-    v, alone = F.col("evidence"), F.col("evidence.from_title")
-    pay = F.transform(v["pay"], lambda p: F.concat_ws(" ", p["label"], F.concat_ws("-", p["low"].cast("int").cast("string"), p["high"].cast("int").cast("string")), p["currency"], p["period"]))
+    v, alone = (lambda name: F.col(f"_{name}")), (lambda name: F.col(f"_title_{name}"))
+    pay = F.transform(v("pay"), lambda p: F.concat_ws(" ", p["label"], F.concat_ws("-", p["low"].cast("int").cast("string"), p["high"].cast("int").cast("string")), p["currency"], p["period"]))
     return met.select(
-        F.col("n").alias("o_orderkey"), "n_sections", "stated", text(F.array_join(pay, ";")).alias("pay"), text(F.array_join(v["levels"], ",")).alias("levels"), v["minimum_degree"].alias("minimum"), text(F.concat_ws(" ", v["graduation"]["start"], v["graduation"]["end"])).alias("graduation"),
-        text(season(v["season"])).alias("season"), text(F.array_join(v["locations"], ",")).alias("locations"), v["work_mode"].alias("mode"), text(F.concat_ws(" ", v["deadline"]["kind"], v["deadline"]["date"].cast("string"))).alias("deadline"),
-        text(F.concat_ws(" ", v["posted"].cast("string"), v["updated"].cast("string"))).alias("posted_updated"), text(F.concat_ws(" ", F.nullif(F.array_join(alone["levels"], ","), F.lit("")), F.nullif(season(alone["season"]), F.lit("")), alone["work_mode"])).alias("from_title"),
+        F.col("n").alias("o_orderkey"), v("sections").alias("n_sections"), v("stated").alias("stated"), text(F.array_join(pay, ";")).alias("pay"), text(F.array_join(v("levels"), ",")).alias("levels"), v("minimum_degree").alias("minimum"), text(F.concat_ws(" ", v("graduation")["start"], v("graduation")["end"])).alias("graduation"),
+        text(season(v("season"))).alias("season"), text(F.array_join(v("locations"), ",")).alias("locations"), v("work_mode").alias("mode"), text(F.concat_ws(" ", v("deadline")["kind"], v("deadline")["date"].cast("string"))).alias("deadline"),
+        text(F.concat_ws(" ", v("posted").cast("string"), v("updated").cast("string"))).alias("posted_updated"), text(F.concat_ws(" ", F.nullif(F.array_join(alone("levels"), ","), F.lit("")), F.nullif(season(alone("season")), F.lit("")), alone("work_mode"))).alias("from_title"),
         evidence.content_hash(F.col("title"), F.col("description"))["hash"].alias("hash"),
     )

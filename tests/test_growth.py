@@ -7,7 +7,7 @@ import pandas as pd
 import parity
 
 from larkspur import catalogue
-from larkspur.plans import merging, repair
+from larkspur.plans import evidence, merging, repair
 from larkspur.streaming import keyed
 
 
@@ -42,6 +42,27 @@ def test_similar_titles_open_up_to_all_their_copies(spark, tmp_path):
     assert "collect_list" in plan  # copies count as one while pairs are compared
 
 
+def test_equal_texts_of_postings_are_read_once(spark, tmp_path):
+    """What a text states doesn't come from its rows any more, neither with few texts (broadcast) nor with many (joined by shuffle)."""
+    orders = "SELECT i::BIGINT AS o_orderkey, (i % 4)::BIGINT AS o_custkey, TIMESTAMP '1998-01-01' + INTERVAL (i % 3) DAY AS o_orderdate FROM range(600) t(i)"
+    sf = put(tmp_path, orders=orders)
+    assert equal(spark, "role_evidence", sf) == ""
+    plan = catalogue.QUERIES["role_evidence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "date posted" not in plan
+
+
+def test_read_once_or_by_row_is_the_same(spark, monkeypatch):
+    """Seasons that begin in the title and end in the text among them, and texts that are null or empty."""
+    titles = ["Summer Intern", "Summer", "Fall 2027 PhD", "Intern (Remote)", "Graduating Summer", None]
+    texts = ["2027 internship. Spring 2028", "Graduating May 2027.\n2028", "Pay:\nUSD 30 - 35 per hour\nApply by 2027-05-01. Winter 2029", "", None, " \n2027"]
+    rows = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate((t, d) for t in titles for d in texts)], "id int, title string, description string")
+    told = [sorted(map(repr, evidence.with_evidence(rows, pay="title", alike=alike).collect())) for alike in (False, True)]
+    monkeypatch.setattr(evidence, "FEW_BYTES", 0)
+    assert told[0] == told[1] == sorted(map(repr, evidence.with_evidence(rows, pay="title", alike=True).collect()))
+    seasons = {(r.title, r.description): r.evidence.season and tuple(r.evidence.season) for r in evidence.with_evidence(rows).where("evidence is not null").collect()}
+    assert seasons["Summer Intern", texts[0]] == ("summer", 2027) and seasons["Summer", texts[5]] == ("summer", 2027) and seasons["Graduating Summer", texts[0]] == ("spring", 2028)
+
+
 def test_evidence_meets_on_all_that_reaches_the_bar(spark, tmp_path):
     part = "SELECT i::BIGINT AS p_partkey, 'Brand#1' AS p_brand, ['X', 'Y', NULL][i % 3 + 1] AS p_type, ['large ring', 'large bolt', 'Large', '', NULL][i % 5 + 1] AS p_name FROM range(45) t(i)"
     sf = put(tmp_path, part=part)
