@@ -7,7 +7,7 @@ import pandas as pd
 import parity
 
 from larkspur import catalogue
-from larkspur.plans import evidence, merging, repair
+from larkspur.plans import delivery, evidence, merging, repair
 from larkspur.streaming import keyed
 
 
@@ -80,6 +80,26 @@ def test_alike_devices_share_their_messages(spark, tmp_path):
     assert "LeftAnti" not in plan and plan.split("\n")[1].find("Join") >= 0  # the last step sends to each device; nothing is shuffled behind it
 
 
+def test_roles_are_ordered_before_devices_meet_them(spark, tmp_path, monkeypatch):
+    """Drops of several cards and of single roles, keys, wishes and days that are null, keys below zero; with few devices no message is shuffled."""
+    orders = """SELECT CASE WHEN i <> 77 THEN i END::BIGINT AS o_orderkey, CASE WHEN i % 31 > 0 THEN CASE WHEN i % 9 = 0 THEN i % 40 ELSE i % 3 END END::BIGINT AS o_custkey,
+        CASE WHEN i % 29 > 0 THEN TIMESTAMP '1998-01-01' + INTERVAL (i) DAY END AS o_orderdate, CASE WHEN i % 23 > 0 THEN (i % 6) || '-X' END AS o_orderpriority FROM range(600) t(i)"""
+    customer = "SELECT i::BIGINT AS c_custkey, CASE WHEN i <> 5 THEN i % 4 END::INT AS c_nationkey FROM range(40) t(i)"
+    supplier = "SELECT CASE WHEN i <> 3 THEN i - 20 END::BIGINT AS s_suppkey, CASE WHEN i % 7 > 0 THEN i % 3 END::INT AS s_nationkey FROM range(70) t(i)"
+    sf = put(tmp_path, orders=orders, customer=customer, supplier=supplier)
+    assert equal(spark, "fan_out", sf) == ""
+    df = catalogue.QUERIES["fan_out"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "strategy=broadcast" in plan[1]
+    meets, ordered = (min(i for i, line in enumerate(plan) if x in line) for x in ("s_nationkey", "Window ["))
+    assert meets < ordered  # above the window in the plan
+    assert df.where("card AND chunk > 1").count() and df.where("NOT card").count()
+    monkeypatch.setattr(delivery, "ALIKE", 1)
+    assert equal(spark, "fan_out", sf) == "" and "Generate" in catalogue.QUERIES["fan_out"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(delivery, "FEW_DEVICES", 0)
+    assert equal(spark, "fan_out", sf) == ""
+
+
 def test_nearest_vectors_with_ties_and_without_a_length(spark, tmp_path):
     """More rows than one piece of a product, many of them equal, one without a length."""
     vectors = "SELECT i::BIGINT AS vec_id, CASE WHEN i = 7 THEN [0, 0]::FLOAT[] ELSE [i % 9 - 4, i % 7 - 3.5]::FLOAT[] END AS embedding, (i % 5)::INT AS label FROM range(6000) t(i)"
